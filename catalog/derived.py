@@ -29,7 +29,15 @@ LINK = " http://t.co/a"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.
+
+    A scan has no more tasks than the files have row groups.  A small file would
+    leave cores idle, so its rows are spread; a large one already has more scan
+    tasks than there are cores and is left alone.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def emoji_at(index: Column) -> Column:

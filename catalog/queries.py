@@ -34,7 +34,9 @@ def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
-    return _cleaned(spark, sf).where(text.length_ok(F.col("text")))
+    return text.where_length_ok(
+        D.posts(spark, sf), "text", text.clean_text(F.col("raw"))
+    ).drop("raw")
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom import values as V
-from glyphloom.functions.text import ngrams, tokens
+from glyphloom.functions.text import let, ngrams, tokens
 from glyphloom.session import stage
 
 BROADCAST_ROWS = 200_000  # larger vocabularies join by shuffle
@@ -23,18 +23,20 @@ def term_rows(rows: DataFrame, key: str, text: str, n: int = 2) -> DataFrame:
     Terms are counted inside their own row: sorted, equal terms lie together, so
     a count is the distance between two starts.  No shuffle is involved.
     """
-    ordered = rows.select(key, F.sort_array(ngrams(tokens(F.col(text)), n)).alias("_t"))
-    size = F.size("_t")
-    some = ordered.where(size > 0).select(key, "_t", F.sequence(F.lit(0), size - 1).alias("_i"))
-    starts = some.select(
-        key, "_t",
-        F.filter("_i", lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))).alias("_s"),
-    )
-    counted = F.transform("_s", lambda start, i: F.struct(
-        F.get("_t", start).alias("term"),
-        (F.coalesce(F.get("_s", i + 1), size) - start).cast("long").alias("tf"),
-    ))
-    return starts.select(key, F.inline(counted))
+    def starts(terms: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(terms) - 1)
+        return F.filter(places, lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+
+    def counts(terms: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda start, i: F.struct(
+            F.get(terms, start).alias("term"),
+            (F.coalesce(F.get(starts, i + 1), F.size(terms)) - start).cast("long").alias("tf"),
+        ))
+
+    ordered = F.sort_array(ngrams(tokens(F.col(text)), n))
+    counted = let(ordered, lambda terms: F.when(
+        F.size(terms) > 0, let(starts(terms), lambda first: counts(terms, first))))
+    return rows.select(key, F.inline(counted))
 
 
 def term_statistics(terms: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glyphloom import values as V
 from glyphloom.functions.chat import chat_messages, render_chat, training_target
 from glyphloom.functions.labels import emoji_of, label_of
-from glyphloom.functions.text import clean_text, length_ok
+from glyphloom.functions.text import clean_text, length_ok, where_length_ok
 from glyphloom.operators.features import encode_fixed, fit_vocabulary
 from glyphloom.operators.lookups import union_widened
 from glyphloom.operators.sampling import draw, draw_cut, share
@@ -38,8 +38,10 @@ STANDARD_VARIANTS = (
 
 def labelled_posts(posts: DataFrame) -> DataFrame:
     """``row_key, text, label, emoji`` of cleaned posts with an allowed length."""
-    cleaned = posts.select("post_id", "label", clean_text(F.col("raw")).alias("text"))
-    return cleaned.where(length_ok(F.col("text"))).select(
+    kept = where_length_ok(
+        posts.select("post_id", "label", "raw"), "text", clean_text(F.col("raw"))
+    )
+    return kept.select(
         F.concat(F.lit("post:"), F.col("post_id").cast("string")).alias("row_key"),
         "text", F.col("label").cast("int").alias("label"), emoji_of(F.col("label")).alias("emoji"),
     )
