@@ -15,6 +15,7 @@ from glyphloom import values as V
 from glyphloom.functions.labels import emoji_of
 from glyphloom.functions.text import ngrams, tokens
 from glyphloom.operators.features import fit_vocabulary
+from glyphloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,13 @@ def _vectors(rows: DataFrame, text: str, features: PipelineModel, n: int) -> Dat
 def fit_baseline(
     train: DataFrame, key: str = "id", text: str = "text", label: str = "label",
     max_features: int = V.MAX_FEATURES, n: int = 2, c: float = 1.0, max_iter: int = 1000,
+    tol: float = 1e-4,
 ) -> TextBaseline:
     """Fit on ``train``; ``c`` is the inverse regularisation strength.
 
     The vocabulary (at most ``max_features`` terms) passes through the driver as
-    a model parameter; texts and gradients stay distributed.
+    a model parameter; texts and gradients stay distributed.  The vectors are
+    staged, so the many passes of the solver do not depend on the text pipeline.
     """
     vocabulary = fit_vocabulary(train, key, text, max_features, n)
     terms = vocabulary.orderBy("rank").select("term", "idf").collect()
@@ -57,13 +60,13 @@ def fit_baseline(
         ),
         Normalizer(p=2.0, inputCol="_tfidf", outputCol="_features"),
     ])
-    vectors = _vectors(train, text, features, n).select(
+    vectors = stage(_vectors(train, text, features, n).select(
         F.col(label).cast("double").alias("_label"), "_features"
-    )
+    ))
     solver = LogisticRegression(
         featuresCol="_features", labelCol="_label", predictionCol="_prediction",
         probabilityCol="_probability", rawPredictionCol="_margin", family="multinomial",
-        regParam=1.0 / (c * train.count()), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter,
+        regParam=1.0 / (c * vectors.count()), elasticNetParam=0.0, standardization=False,
+        maxIter=max_iter, tol=tol,
     )
     return TextBaseline(features, solver.fit(vectors), n)
