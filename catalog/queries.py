@@ -13,6 +13,7 @@ from glyphloom import values as V
 from glyphloom.functions import chat, parsing, text
 from glyphloom.operators import baseline, curation, features, lookups, metrics, sampling, scoring
 from glyphloom.plans import comparison, curation as curating, training_set as training
+from glyphloom.session import stage
 from glyphloom.sources import answers as answering
 from glyphloom.sources.seeds import seed_samples
 
@@ -232,13 +233,14 @@ def curated_set(spark, sf):
 
 @query
 def sample_exact(spark, sf):
-    kept = _kept(spark, sf).select("post_id", "label")
+    kept = stage(_kept(spark, sf).select("post_id", "label"))
     return sampling.sample_exact(kept, "post_id", 1000)
 
 
 @query
 def train_val_split(spark, sf):
-    return sampling.train_val_split(_kept(spark, sf).select("post_id", "label"), "post_id")
+    kept = stage(_kept(spark, sf).select("post_id", "label"))
+    return sampling.train_val_split(kept, "post_id")
 
 
 @query

@@ -7,6 +7,9 @@ digits (at most 4,096 counts per group and level), walk down to the digit range
 that holds the k-th draw, and keep every row up to it with a plain filter.  So
 the rows themselves are never sorted, shuffled or gathered.
 
+The input is read once per level and once for the result; only key and group
+are needed before that, so stage an input that is costly to compute.
+
 Row keys must be unique; rows that share one are kept or dropped together.
 """
 
@@ -33,13 +36,16 @@ def share(fraction: float) -> Callable[[Column, Column], Column]:
 
 def draw_cut(
     rows: DataFrame, draw_col: str, size: Callable[[Column, Column], Column],
-    group: Column | None = None,
+    group: Column | None = None, eager: bool = False,
 ) -> Column:
-    """Scalar ``map<group, draw>``: the largest draw to keep in each group.
+    """``map<group, draw>``: the largest draw to keep in each group.
 
     ``size(total, group)`` gives the number of rows wanted.  Groups that keep
     nothing are absent.  The number of groups must be small (data variants);
     without ``group`` the only one is ``"all"``.
+
+    The result is a scalar subquery, or with ``eager`` it is computed now and
+    becomes a literal, for bounds that several passes use.
     """
     g = F.lit("all") if group is None else group
     keyed = rows.select(g.cast("string").alias("g"), F.col(draw_col).alias("d"))
@@ -72,7 +78,10 @@ def draw_cut(
         inside(level2, 2 * DIGITS).withColumn("place", place)
         .where(F.col("place") == F.col("want")).select("g", "d")
     )
-    # one entry per group
+    if eager:
+        found = last.collect()  # one row per group
+        entries = [F.lit(x) for row in found for x in (row.g, row.d)]
+        return F.create_map(*entries or [F.lit(""), F.lit("")])
     return last.select(F.map_from_entries(F.collect_list(F.struct("g", "d")))).scalar()
 
 

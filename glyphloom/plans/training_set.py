@@ -104,13 +104,13 @@ def dataset_variants(
     if limited:
         sampled = rows.where(~F.col("is_extra") & group.isin(limited))
         bound = draw_cut(
-            sampled, "_draw", lambda total, g: _wanted_posts(variants, total, g), group
+            sampled, "_draw", lambda total, g: _wanted_posts(variants, total, g), group, staged
         )
         inside = F.coalesce(F.col("_draw") <= F.try_element_at(bound, group), F.lit(False))
         rows = rows.where(F.col("is_extra") | ~group.isin(limited) | inside)
     # the split draws anew, so that it does not follow the sample
     rows = rows.withColumn("_split", draw(F.concat(F.lit("split:"), F.col("row_key")), seed))
-    bound = draw_cut(rows, "_split", share(test_size), group)
+    bound = draw_cut(rows, "_split", share(test_size), group, staged)
     in_val = F.coalesce(F.col("_split") <= F.try_element_at(bound, group), F.lit(False))
     return rows.select(
         "variant", F.when(in_val, "val").otherwise("train").alias("split"),
@@ -162,10 +162,12 @@ def encode_training_set(
 
 def stage_counts(posts: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """``stage, n``: rows read, kept by length, with a known label, and added."""
-    text = clean_text(F.col("raw"))
-    kept = length_ok(text)
-    known = emoji_of(F.col("label")).isNotNull()
-    counts = posts.agg(
+    kept, known = F.col("kept"), F.col("known")
+    checked = posts.select(
+        length_ok(clean_text(F.col("raw"))).alias("kept"),
+        emoji_of(F.col("label")).isNotNull().alias("known"),
+    )
+    counts = checked.agg(
         F.count(F.lit(1)).alias("read"), F.count_if(kept).alias("kept"),
         F.count_if(kept & known).alias("labelled"),
     )
