@@ -20,6 +20,11 @@ WORD = r"[\p{L}\p{N}_]"
 _SPACE = r"\t-\r\x1c-\x1f \x85\p{Z}"
 SPACE = f"[{_SPACE}]"
 NON_SPACE = f"[^{_SPACE}]"
+# the same characters one by one, for trimming
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,8 +37,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space at both ends (``trim`` knows blanks only)."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Remove Unicode white space at both ends (a plain ``trim`` knows blanks only)."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def _any_of(parts: list[Column]) -> Column:

@@ -9,10 +9,31 @@ from glyphloom import values as V
 from glyphloom.functions.labels import emoji_of, label_dimension, label_of
 
 
+def unique_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows, failing the job if two of them share their keys.
+
+    Duplicates are folded before the shuffle, so a join behind this cannot blow
+    up on a key that fills much of the table.  The check runs where a column
+    besides the keys is used.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    message = F.concat(
+        F.lit(f"more than one row for {', '.join(keys)} = "),
+        F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]),
+    )
+    folded = rows.groupBy(*keys).agg(
+        F.min(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_n")
+    )
+    only = F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col("_row"))
+    return folded.select(*keys, only.alias("_row")).select(
+        *[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in rows.columns]
+    )
+
+
 def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full outer join with ``in_left`` and ``in_right`` marks; keys must be unique."""
-    a = left.withColumn("_l", F.lit(True))
-    b = right.withColumn("_r", F.lit(True))
+    a = unique_rows(left, key).withColumn("_l", F.lit(True))
+    b = unique_rows(right, key).withColumn("_r", F.lit(True))
     return a.join(b, key, "full_outer").withColumns({
         "in_left": F.coalesce("_l", F.lit(False)), "in_right": F.coalesce("_r", F.lit(False)),
     }).drop("_l", "_r")

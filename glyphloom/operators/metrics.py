@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphloom import values as V
 from glyphloom.functions.labels import is_listed, polarity_of, similarity_dimension
+from glyphloom.operators.lookups import unique_rows
 
 OFF_LIST = "other"
 
@@ -30,18 +31,6 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole.cast("double")).otherwise(0.0)
 
 
-def _unique(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    message = F.concat(
-        F.lit(f"more than one {value} for {', '.join(keys)} = "),
-        F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]),
-    )
-    return (
-        rows.groupBy(*keys).agg(F.min(value).alias(value), F.count(F.lit(1)).alias("_n"))
-        .withColumn(value, F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col(value)))
-        .drop("_n")
-    )
-
-
 def pair_predictions(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     """``(model, id, pred)`` with ``(id, truth)`` by id; duplicates fail the job.
 
@@ -49,8 +38,8 @@ def pair_predictions(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     check folds duplicates before the join, so it cannot blow up on them.
     """
     spread = predictions.select("model", "id", "pred").repartition("id")
-    checked = _unique(spread, ["model", "id"], "pred")
-    return checked.join(_unique(truths.select("id", "truth"), ["id"], "truth"), "id").select(
+    checked = unique_rows(spread, "model", "id")
+    return checked.join(unique_rows(truths.select("id", "truth"), "id"), "id").select(
         "model", "id", "truth", "pred"
     )
 
@@ -250,7 +239,7 @@ def alternative_score(outputs: DataFrame) -> DataFrame:
 
 def irony_accuracy(outputs: DataFrame, annotated: DataFrame) -> DataFrame:
     """``model, n_annotated, irony_detection_accuracy``: ``irony`` against ``(id, type)`` by id."""
-    types = _unique(annotated.select("id", "type"), ["id"], "type")
+    types = unique_rows(annotated.select("id", "type"), "id")
     truth = F.coalesce(F.col("type").isin(*V.IRONIC_TYPES), F.lit(False))
     matched = outputs.select("model", "id", "irony").join(types, "id")
     return matched.groupBy("model").agg(

@@ -41,7 +41,11 @@ def answer_samples(parsed: DataFrame, key: str = "batch_id") -> DataFrame:
 
     Fields that are missing or no JSON strings are null.
     """
-    items = parsed.where("accepted").select(key, F.posexplode("items").alias("pos", "_item"))
+    # From a plain posexplode Spark would derive a filter on the items and parse
+    # each answer again for it; the outer form with a check afterwards does not.
+    items = parsed.select(key, F.posexplode_outer("items").alias("pos", "_item")).where(
+        F.col("pos").isNotNull()
+    )
 
     def field(name: str):
         value = F.try_variant_get(F.col("_item"), f"$.{name}", "variant")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.operators import curation, lookups
@@ -72,6 +73,15 @@ def test_union_and_align(spark):
     assert [(r.in_left, r.in_right) for r in both] == [(True, True), (False, True)]
 
 
+def test_duplicate_keys_fail(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "z")], "id int, p string")
+    b = spark.createDataFrame([(1, "y")], "id int, q string")
+    for left, right in ((a, b), (b, a)):
+        with pytest.raises(Exception, match="more than one row for id = 1"):
+            lookups.align(left, right, "id").collect()
+    assert lookups.unique_rows(b, "id").collect() == b.collect()
+
+
 def test_label_usage_keeps_unused_classes(spark):
     rows = spark.createDataFrame([(3,), (3,), (99,)], "label int")
     got = {r.label: r.n for r in lookups.label_usage(rows).collect()}
