@@ -27,27 +27,34 @@ def system_prompt(constrain: bool = True) -> str:
     return INSTRUCTIONS.format(allowed=allowed)
 
 
-def json_string(value: Column) -> Column:
-    """A string as a quoted, escaped JSON literal."""
+# Tone and reason wording of the targets.
+TONE = "{} emotional tone"
+IRONIC_TONE = "Ironic or sarcastic"
+REASON = "The text conveys a {} sentiment, best matched by {}."
+
+
+def json_escaped(value: Column) -> Column:
+    """A string as it stands between the quotes of a JSON string."""
     as_array = F.to_json(F.array(value))
-    return F.substring(as_array, F.lit(2), F.length(as_array) - 2)
+    inside = F.substring(as_array, F.lit(3), F.length(as_array) - 4)
+    return F.when(value.rlike(r'["\\\x00-\x1f]'), inside).otherwise(value)
+
+
+def _by_polarity(emoji: Column, of: dict[str, str]) -> Column:
+    positive = polarity_of(emoji) == V.POSITIVE
+    return F.when(positive, of[V.POSITIVE]).otherwise(of[V.NOT_POSITIVE_NAME])
+
+
+def _polarities(template: str) -> dict[str, str]:
+    return {p: template.replace("{}", p, 1) for p in (V.POSITIVE, V.NOT_POSITIVE_NAME)}
 
 
 def target_struct(emoji: Column, text: Column) -> Column:
     """The structured answer a model is trained to give for a labelled text."""
+    tones = {p: TONE.format(p.capitalize()) for p in (V.POSITIVE, V.NOT_POSITIVE_NAME)}
     ironic = irony_rule(text)
-    polarity = polarity_of(emoji)
-    # Tone and reason wording of the targets.
-    tone = F.concat(
-        F.when(ironic, "Ironic or sarcastic")
-        .when(polarity == V.POSITIVE, "Positive")
-        .otherwise("Neutral_or_negative"),
-        F.lit(" emotional tone"),
-    )
-    reason = F.concat(
-        F.lit("The text conveys a "), polarity, F.lit(" sentiment, best matched by "),
-        emoji, F.lit("."),
-    )
+    tone = F.when(ironic, TONE.format(IRONIC_TONE)).otherwise(_by_polarity(emoji, tones))
+    reason = F.replace(_by_polarity(emoji, _polarities(REASON)), F.lit("{}"), emoji)
     return F.struct(
         tone.alias("tone"), ironic.alias("irony"), emoji.alias("primary"),
         alternative_of(emoji).alias("alternative"), reason.alias("reason"),
@@ -57,17 +64,25 @@ def target_struct(emoji: Column, text: Column) -> Column:
 def training_target(emoji: Column, text: Column) -> Column:
     """The structured answer as JSON text, ``", "`` and ``": "`` separated.
 
-    Null where the emoji is null (a row without a usable label).
+    Null where the emoji is null (a row without a usable label).  The keyword
+    rule is evaluated once: it chooses between whole beginnings.
     """
-    answer = target_struct(emoji, text)
-    field = answer.getField
+    def start(tone: str, irony: str) -> str:
+        return '{"tone": "' + TONE.format(tone) + '", "irony": ' + irony + ', "primary": "'
+
+    plain = {
+        p: start(p.capitalize(), "false") for p in (V.POSITIVE, V.NOT_POSITIVE_NAME)
+    }
+    first = F.when(irony_rule(text), start(IRONIC_TONE, "true")).otherwise(
+        _by_polarity(emoji, plain)
+    )
+    # the emoji goes where the reason's second gap is
+    before = {p: reason.split("{}")[0] for p, reason in _polarities(REASON).items()}
+    after = REASON.split("{}")[-1]
+    shown = json_escaped(emoji)
     written = F.concat(
-        F.lit('{"tone": "'), field("tone"),
-        F.lit('", "irony": '), field("irony").cast("string"),
-        F.lit(', "primary": '), json_string(emoji),
-        F.lit(', "alternative": "'), field("alternative"),
-        F.lit('", "reason": '), json_string(field("reason")),
-        F.lit("}"),
+        first, shown, F.lit('", "alternative": "'), alternative_of(emoji),
+        F.lit('", "reason": "'), _by_polarity(emoji, before), shown, F.lit(after + '"}'),
     )
     return F.when(emoji.isNotNull(), written)
 

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from glyphloom import values as V
@@ -92,6 +94,9 @@ def test_training_target_text(spark):
     assert '"tone": "Neutral_or_negative emotional tone", "irony": false' in got[1]
     assert '"primary": "q\\"\\\\", "alternative": "😊"' in got[2]
     assert got[3] is None
+    parts = rows.select(chat.target_struct(F.col("e"), F.col("t")).alias("s")).collect()
+    for text, r in list(zip(got, parts))[:3]:
+        assert json.loads(text) == r.s.asDict()
 
 
 def test_chat_messages(spark):
