@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -18,6 +19,9 @@ from glyphloom.operators.features import fit_vocabulary
 from glyphloom.session import stage
 
 
+ROWS_PER_TASK = 2_000
+
+
 @dataclass(frozen=True)
 class TextBaseline:
     """A fitted text classifier."""
@@ -63,10 +67,13 @@ def fit_baseline(
     vectors = stage(_vectors(train, text, features, n).select(
         F.col(label).cast("double").alias("_label"), "_features"
     ))
+    texts = vectors.count()
+    # each solver step is one job: give its tasks enough rows to be worth starting
+    vectors = vectors.coalesce(math.ceil(max(texts, 1) / ROWS_PER_TASK))
     solver = LogisticRegression(
         featuresCol="_features", labelCol="_label", predictionCol="_prediction",
         probabilityCol="_probability", rawPredictionCol="_margin", family="multinomial",
-        regParam=1.0 / (c * vectors.count()), elasticNetParam=0.0, standardization=False,
+        regParam=1.0 / (c * texts), elasticNetParam=0.0, standardization=False,
         maxIter=max_iter, tol=tol,
     )
     return TextBaseline(features, solver.fit(vectors), n)

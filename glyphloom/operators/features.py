@@ -106,13 +106,15 @@ def encode_fixed(
 
     Word ids are vocabulary ranks shifted past padding and unknown.  Longer texts
     are cut at ``max_length``, shorter ones padded on the right; ``labels`` repeat
-    the ids, padding included.  A text is regrouped from at most ``max_length``
-    positions.
+    the ids, padding included.  Keys must be unique, so that a text is regrouped
+    from at most ``max_length`` positions.
     """
-    words = rows.select(key, tokens(F.col(text)).alias("_t"))
-    placed = words.select(
-        key, F.size("_t").alias("n_tokens"), F.posexplode_outer(F.slice("_t", 1, max_length))
-    ).withColumnsRenamed({"pos": "_pos", "col": "term"})
+    # Spread by key while a text is still one row: the positions stay where their
+    # text is, and regrouping them needs no second, far larger shuffle.
+    words = rows.select(key, tokens(F.col(text)).alias("_t")).select(
+        key, F.size("_t").alias("n_tokens"), F.slice("_t", 1, max_length).alias("_t")
+    ).repartition(key)
+    placed = words.select(key, "n_tokens", F.posexplode_outer("_t").alias("_pos", "term"))
     shift = FIRST_TERM_ID - 1
     ids = _bounded(
         vocabulary.select("term", (F.col("rank") + shift).alias("_id")), max_features
