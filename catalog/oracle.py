@@ -245,12 +245,6 @@ vocabulary AS (
   FROM ranked WHERE rank <= {TOP})"""
 
 
-_sim = " ".join(
-    f"WHEN pred = {_q(a)} AND truth = {_q(b)} THEN {s} WHEN pred = {_q(b)} AND truth = {_q(a)} THEN {s}"
-    for (a, b), s in V.SIMILARITY.items()
-)
-
-
 def _score(pred: str = "pred", truth: str = "truth") -> str:
     whens = " ".join(
         f"WHEN {pred} = {_q(a)} AND {truth} = {_q(b)} THEN {s} "

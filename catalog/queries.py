@@ -338,7 +338,7 @@ def encode_fixed(spark, sf):
 
 @query
 def baseline_predictions(spark, sf):
-    rows = sampling.train_val_split(D.labelled_documents(spark, sf), "id")
+    rows = sampling.train_val_split(D.labelled_documents(spark, sf), "id", eager=True)
     train = rows.where("split = 'train' and label is not null")
     model = baseline.fit_baseline(train, max_features=TOP_TERMS)
     return model.predict(rows).select("id", "split", "label", "pred_label", "pred")

@@ -90,25 +90,31 @@ def _keep(draw_col: str, cut: Column, group: Column | None) -> Column:
     return F.coalesce(F.col(draw_col) <= F.try_element_at(cut, g), F.lit(False))
 
 
-def sample_exact(rows: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement; all rows for ``n`` of 0, None or too many."""
+def sample_exact(
+    rows: DataFrame, key: str, n: int | None, seed: int = 42, eager: bool = False
+) -> DataFrame:
+    """``n`` rows without replacement; all rows for ``n`` of 0, None or too many.
+
+    ``eager`` finds the bound now, for a sample that is used several times.
+    """
     if not n:
         return rows
     drawn = rows.withColumn("_draw", draw(F.col(key), seed))
-    cut = draw_cut(drawn, "_draw", lambda _total, _group: F.lit(int(n)))
+    cut = draw_cut(drawn, "_draw", lambda _total, _group: F.lit(int(n)), None, eager)
     return drawn.where(_keep("_draw", cut, None)).drop("_draw")
 
 
 def train_val_split(
     rows: DataFrame, key: str, test_size: float = 0.1, seed: int = 42,
-    group: Column | None = None,
+    group: Column | None = None, eager: bool = False,
 ) -> DataFrame:
     """Add ``split``: ``val`` for exactly ``ceil(test_size * rows)`` rows, else ``train``.
 
-    With ``group`` each of a few groups is split on its own.
+    With ``group`` each of a few groups is split on its own.  ``eager`` finds the
+    bounds now, for a split that is used several times.
     """
     drawn = rows.withColumn("_draw", draw(F.col(key), seed))
-    cut = draw_cut(drawn, "_draw", share(test_size), group)
+    cut = draw_cut(drawn, "_draw", share(test_size), group, eager)
     label = F.when(_keep("_draw", cut, group), "val").otherwise("train")
     return drawn.withColumn("split", label).drop("_draw")
 

@@ -36,6 +36,8 @@ def test_split_size(spark, rows):
     val = {r.id for r in got if r.split == "val"}
     assert len(got) == rows
     assert val == set(_order(range(rows))[:math.ceil(0.1 * rows)])
+    now = sampling.train_val_split(spark.range(rows), "id", eager=True).where("split = 'val'")
+    assert {r.id for r in now.collect()} == val
 
 
 def test_split_by_group(spark):
