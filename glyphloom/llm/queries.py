@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphloom.llm import topk, urlfilter
+from glyphloom.llm.mixing import mix_copies
 from glyphloom.llm.neardup import near_duplicates
+from glyphloom.llm.packing import pack
 from glyphloom.llm.suffixdedup import remove_repeats
 
 
@@ -17,15 +20,37 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix_copies(table(spark, sf_dir, "documents"))
+    return taken.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
+
+
+def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_length_buckets": op9_length_buckets,
+    "op10_exact_topk": op10_exact_topk,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_url_filter": urlfilter.ORACLE, "op10_exact_topk": topk.ORACLE}
