@@ -240,7 +240,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
 ) -> DataFrame:
-    """All columns of ``docs``, and ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes).
+    """All columns of ``docs`` but the text, and ``n_bytes, n_removed, n_spans, kept``.
+
+    ``kept`` has the remaining bytes in UTF-8, of which a cut may have split a character.
 
     Every byte goes that a string of ``length`` bytes covers which starts anywhere else
     too, in the same document or another.  Null texts count as empty; shorter texts
