@@ -214,7 +214,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = mixed.join(distinct.where("n > 1").select("name", "bytes_hash"), ["name", "bytes_hash"])
     wanted = distinct.select("at.*", "name", "n").groupBy("doc_id", "rid").agg(
         F.collect_list(F.struct("low", "high", "name", "n")).alias("runs"))
-    texts = docs.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "text").dropDuplicates(["d", "r"])
+    # a text given twice has its parts twice; its runs have n > 1, so no count changes its answer
+    texts = docs.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "text")
     parts = (texts.join(wanted, (F.col("r") == F.col("rid")) & F.col("d").eqNullSafe(F.col("doc_id")))
              .select("doc_id", "rid", "text", "runs").mapInArrow(cut_parts(length), PARTS))
     sizes = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("m"))
