@@ -203,7 +203,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Spans of one text may overlap.
     """
     runs = stage(docs.where(F.octet_length("text") >= length).mapInArrow(anchor_runs(length), RUNS))
-    names = (runs.groupBy("name").agg(
+    names = stage(runs.groupBy("name").agg(
         F.count(F.lit(1)).alias("runs"), F.min("bytes_hash").alias("x"), F.max("bytes_hash").alias("y"))
         .where("runs > 1").select("name", (F.col("x") != F.col("y")).alias("mixed")))
     hits = stage(runs.join(names, "name"))
