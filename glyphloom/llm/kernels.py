@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 500_000
 
 #: odd multiplier of the polynomial hash, its inverse modulo 2**64, and a code for each byte
 BASE = 0x9E3779B97F4A7C15
