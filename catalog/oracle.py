@@ -231,7 +231,7 @@ grams AS (
   FROM words)"""
 
 
-def _vocabulary(column: str, source: str) -> str:
+def _vocabulary(column: str, source: str, top: int = V.MAX_FEATURES) -> str:
     return f"""
 terms AS (
   SELECT doc_id, term, count(*) AS tf
@@ -242,7 +242,7 @@ ranked AS (
   FROM terms GROUP BY term),
 vocabulary AS (
   SELECT *, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (doc_count + 1)) + 1 AS idf
-  FROM ranked WHERE rank <= {TOP})"""
+  FROM ranked WHERE rank <= {top})"""
 
 
 def _score(pred: str = "pred", truth: str = "truth") -> str:
@@ -435,7 +435,7 @@ ORACLE: dict[str, str] = {
     "training_set": f"""
         WITH {POSTS}, {ANSWERED}, {_UNION},
         both_in AS (
-          SELECT {_columns} FROM (SELECT * FROM posts_in ORDER BY {_draw('row_key')} LIMIT 4000)
+          SELECT {_columns} FROM (SELECT * FROM posts_in)
           UNION ALL SELECT {_columns} FROM extra_in),
         parts AS ({_split_of('both_in')})
         SELECT split, {_columns}, {TARGET} AS target,
@@ -479,7 +479,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words)
         GROUP BY ALL""",
     "vocabulary_topk": f"""
-        WITH {_TERM_CTES}, {_vocabulary('t', 'grams')}
+        WITH {_TERM_CTES}, {_vocabulary('t', 'grams', TOP)}
         SELECT term, corpus_count, doc_count, rank, round(idf, 6) AS idf FROM vocabulary""",
     "tfidf_weights": f"""
         WITH {_TERM_CTES}, {_vocabulary('t', 'grams')},

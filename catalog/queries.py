@@ -250,7 +250,7 @@ def shuffle_rank(spark, sf):
 
 @query
 def training_set(spark, sf):
-    rows = training.build_training_set(D.posts(spark, sf), D.extra(spark, sf), n=4000)
+    rows = training.build_training_set(D.posts(spark, sf), D.extra(spark, sf), n=None)
     return rows.withColumn("n_messages", F.size("messages").cast("long")).drop("messages")
 
 
@@ -295,18 +295,18 @@ def term_counts(spark, sf):
     return features.term_rows(D.table(spark, sf, "documents"), "doc_id", "text", n=1)
 
 
-TOP_TERMS = 2000
+TOP_TERMS = 2000  # of the top-k report alone
 
 
-def _vocabulary(spark: SparkSession, sf: str, n: int) -> DataFrame:
+def _vocabulary(spark: SparkSession, sf: str, n: int, terms: int = V.MAX_FEATURES) -> DataFrame:
     return features.fit_vocabulary(
-        D.table(spark, sf, "documents"), "doc_id", "text", TOP_TERMS, n
+        D.table(spark, sf, "documents"), "doc_id", "text", terms, n
     )
 
 
 @query
 def vocabulary_topk(spark, sf):
-    vocabulary = _vocabulary(spark, sf, 2)
+    vocabulary = _vocabulary(spark, sf, 2, TOP_TERMS)
     return vocabulary.select(
         "term", "corpus_count", "doc_count", F.col("rank").cast("long").alias("rank"), *_six("idf")
     )
@@ -315,7 +315,7 @@ def vocabulary_topk(spark, sf):
 @query
 def tfidf_weights(spark, sf):
     weights = features.tfidf_weights(
-        D.table(spark, sf, "documents"), "doc_id", "text", _vocabulary(spark, sf, 2), TOP_TERMS
+        D.table(spark, sf, "documents"), "doc_id", "text", _vocabulary(spark, sf, 2)
     )
     return weights.select("doc_id", "term", *_six("weight"))
 
@@ -324,7 +324,6 @@ def tfidf_weights(spark, sf):
 def encode_fixed(spark, sf):
     encoded = features.encode_fixed(
         D.table(spark, sf, "documents"), "doc_id", "text", _vocabulary(spark, sf, 1),
-        max_features=TOP_TERMS,
     )
 
     def joined(name: str):
@@ -340,7 +339,7 @@ def encode_fixed(spark, sf):
 def baseline_predictions(spark, sf):
     rows = sampling.train_val_split(D.labelled_documents(spark, sf), "id", eager=True)
     train = rows.where("split = 'train' and label is not null")
-    model = baseline.fit_baseline(train, max_features=TOP_TERMS)
+    model = baseline.fit_baseline(train, max_iter=100)
     return model.predict(rows).select("id", "split", "label", "pred_label", "pred")
 
 

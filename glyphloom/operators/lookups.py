@@ -13,8 +13,8 @@ def unique_rows(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows, failing the job if two of them share their keys.
 
     Duplicates are folded before the shuffle, so a join behind this cannot blow
-    up on a key that fills much of the table.  The check runs where a column
-    besides the keys is used.
+    up on a key that fills much of the table.  The check is a filter, which runs
+    whichever columns are used later.
     """
     rest = [c for c in rows.columns if c not in keys]
     message = F.concat(
@@ -24,8 +24,8 @@ def unique_rows(rows: DataFrame, *keys: str) -> DataFrame:
     folded = rows.groupBy(*keys).agg(
         F.min(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_n")
     )
-    only = F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col("_row"))
-    return folded.select(*keys, only.alias("_row")).select(
+    once = F.when(F.col("_n") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
+    return folded.where(once).select(
         *[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in rows.columns]
     )
 

@@ -12,44 +12,48 @@ from glyphloom.functions.text import NON_SPACE, strip
 from glyphloom.session import stage
 
 SAMPLE_SCHEMA = "text string, emoji string, type string, true_sentiment string"
-BROADCAST_BLOCKS = 500_000  # rows of two longs
+BROADCAST_BLOCKS = 500_000  # counted rows of one path and five longs
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value``: the lines of one text file, numbered from 0.
+    """``line_no, value``: the lines of a text file or folder, numbered from 0.
 
-    Blank lines before the first and after the last text are not counted.
+    Files follow one another by path.  Blank lines before the first and after the
+    last text of a file are not counted.
 
     Large files are read in blocks.  Inside a block the ids Spark hands out rise
-    by one per line; with the number of lines in the blocks before, that gives
-    the line number without sorting or moving a line.  The read is staged first,
-    so that ids and blocks stay as they were even if a task runs again.
+    by one per line; with the number of lines in the blocks and files before, that
+    gives the line number without sorting or moving a line.  The read is staged
+    first, so that ids and blocks stay as they were even if a task runs again.
     """
     read = stage(spark.read.text(path).select(
-        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seen"), "value",
     ))
     filled = F.when(F.col("value").rlike(NON_SPACE), F.col("seen"))
-    blocks = read.groupBy("block").agg(
+    blocks = read.groupBy("file", "block").agg(
         F.min("seen").alias("first"), F.count(F.lit(1)).alias("n"),
         F.min(filled).alias("low"), F.max(filled).alias("high"),
     )
-    # one row per block of the file
-    before = F.sum("n").over(Window.orderBy("block")) - F.col("n")
-    starts = stage(blocks.withColumn("shift", before - F.col("first")).select(
-        "block", "shift", (F.col("low") + F.col("shift")).alias("low"),
-        (F.col("high") + F.col("shift")).alias("high"),
-    ))
-    shifts = starts.select("block", "shift")
-    if starts.count() <= BROADCAST_BLOCKS:
-        shifts = F.broadcast(shifts)
-    numbered = read.join(shifts, "block").select(
-        (F.col("seen") + F.col("shift")).alias("at"), "value"
+    # one row per block: its place in its file, and the part of the file that counts
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    placed = blocks.withColumn("shift", before - F.col("first"))
+    whole = Window.partitionBy("file")
+    ranged = placed.select(
+        "file", "block", "shift", F.min(F.col("low") + F.col("shift")).over(whole).alias("low"),
+        F.max(F.col("high") + F.col("shift")).over(whole).alias("high"),
     )
-    low = starts.select(F.min("low")).scalar()
-    high = starts.select(F.max("high")).scalar()
-    return numbered.where(F.col("at").between(low, high)).select(
-        (F.col("at") - low).alias("line_no"), "value"
+    # one row per file: the lines in the files before
+    files = ranged.where("low is not null").groupBy("file").agg(
+        F.first(F.col("high") - F.col("low") + 1).alias("lines"))
+    earlier = F.sum("lines").over(Window.orderBy("file")) - F.col("lines")
+    starts = stage(ranged.join(files.select("file", earlier.alias("earlier")), "file").select(
+        "file", "block", "shift", "low", "high", "earlier"))
+    if starts.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    at = F.col("seen") + F.col("shift")
+    return read.join(starts, ["file", "block"]).where(at.between(F.col("low"), F.col("high"))).select(
+        (F.col("earlier") + at - F.col("low")).alias("line_no"), "value"
     )
 
 
@@ -82,7 +86,14 @@ def read_samples(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     """``seq, text, emoji, type, true_sentiment`` from a JSON array or JSON Lines.
 
     One JSON array cannot be split between tasks; large sets should be JSON Lines.
+    The ``seq`` of JSON Lines is the line number over all files, by path, however the
+    files are cut into tasks.
     """
+    if lines:
+        parsed = numbered_lines(spark, path).where(F.col("value").rlike(NON_SPACE)).select(
+            F.col("line_no").alias("seq"),
+            F.from_json("value", SAMPLE_SCHEMA, {"mode": "FAILFAST"}).alias("sample"))
+        return parsed.select("seq", "sample.*")
     samples = (
         spark.read.schema(SAMPLE_SCHEMA).option("multiLine", not lines)
         .option("mode", "FAILFAST").json(path)
@@ -112,7 +123,7 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 def write_report(table: DataFrame, path: str) -> None:
     """A small result table (rows per model) as one CSV file with a header."""
-    table.coalesce(1).write.option("header", True).csv(path)
+    table.repartition(1).write.option("header", True).csv(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -86,3 +86,12 @@ def test_label_usage_keeps_unused_classes(spark):
     rows = spark.createDataFrame([(3,), (3,), (99,)], "label int")
     got = {r.label: r.n for r in lookups.label_usage(rows).collect()}
     assert len(got) == 20 and got[3] == 2 and sum(got.values()) == 2
+
+
+def test_repeated_keys_fail_even_if_only_counted(spark):
+    from glyphloom.operators.lookups import unique_rows
+
+    for columns in ("k int, v int", "k int"):
+        rows = spark.createDataFrame([(1, 2)[:len(columns.split(","))]] * 2, columns)
+        with pytest.raises(Exception, match="more than one row"):
+            unique_rows(rows, "k").count()

@@ -94,3 +94,29 @@ def test_report_round_trip(spark, tmp_path):
     files.write_report(table, path)
     assert len(list((tmp_path / "report").glob("*.csv"))) == 1
     assert [tuple(r) for r in files.read_report(spark, path).collect()] == [("a b", 0.5, None)]
+
+
+def test_folders_pair_line_by_line(spark, tmp_path):
+    """Files of different lengths on both sides, trimmed each, numbered across all."""
+    for folder, contents in (("texts", ["\na\nb\nc\n\n", "dd\n\nee\n"]), ("labels", ["1\n2\n", "\n3\n4\n5\n6\n"])):
+        (tmp_path / folder).mkdir()
+        for i, content in enumerate(contents):
+            (tmp_path / folder / f"part-{i}.txt").write_text(content)
+    got = files.aligned_lines(spark, str(tmp_path / "texts"), str(tmp_path / "labels")).orderBy("post_id").collect()
+    assert [(r.post_id, r.raw, r.label) for r in got] == [
+        (0, "a", 1), (1, "b", 2), (2, "c", 3), (3, "dd", 4), (4, "", 5), (5, "ee", 6)]
+
+
+def test_sample_numbers_do_not_depend_on_the_tasks(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"s{i}.json").write_text("".join(
+            f'{{"text": "t{i} {n}", "emoji": "x"}}\n' for n in range(200)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for size in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.append({(r.seq, r.text) for r in files.read_samples(spark, str(tmp_path), lines=True).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] == {(200 * i + n, f"t{i} {n}") for i in range(3) for n in range(200)}

@@ -2,7 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as contract
+from catalog.oracle import ORACLE
+from catalog.queries import QUERIES
 from check import connect, difference
 
 WITHOUT_SQL = {"baseline_predictions"}
@@ -14,19 +15,19 @@ def duck(sf_dir):
 
 
 def test_all_but_the_trained_model_have_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, sf_dir, duck, name):
-    ours = contract.queries()[name](spark, sf_dir).toArrow()
-    theirs = duck.sql(contract.oracle_sql()[name]).to_arrow_table()
+    ours = QUERIES[name](spark, sf_dir).toArrow()
+    theirs = duck.sql(ORACLE[name]).to_arrow_table()
     assert ours.num_rows > 0
     assert difference(ours, theirs) is None
 
 
 def test_baseline_beats_the_commonest_class(spark, sf_dir):
-    got = contract.queries()["baseline_predictions"](spark, sf_dir).where("split = 'val'").collect()
+    got = QUERIES["baseline_predictions"](spark, sf_dir).where("split = 'val'").collect()
     right = sum(r.label == r.pred_label for r in got) / len(got)
     commonest = max(sum(r.label == n for r in got) for n in range(4)) / len(got)
     assert right > commonest
