@@ -10,6 +10,13 @@ Small nodes are compared exhaustively inside a task, first by sketches (which ar
 below any pair they let go), then by the full sets: only verified links leave a task,
 and only those that join two groups not joined before, so a node of n documents gives
 fewer than n rows.  Copies with equal sets are one row from the start.
+
+A node too large for that first loses what its centre settles.  Every member is compared
+with the centre on full sets.  Jaccard distance is a metric: a member linked to the
+centre can link to a member that is not only if their distances to the centre differ by
+no more than the threshold allows, so linked members nearer than that leave the node and
+lose no link.  The rest branches; what is still large at the last level is compared in
+pairs of blocks, again without loss.
 """
 
 from __future__ import annotations
@@ -32,7 +39,9 @@ SLOTS = 128
 NODE_ROWS = 2_000
 #: how far below the threshold a sketch may be: 4.5 standard deviations of its error
 MARGIN = 4.5 * (0.85 * 0.15 / SLOTS) ** 0.5
-BRANCHES = 3
+#: tokens a large node branches by: 2 * 0.85 > 1 paths of a linked pair go on, so depth costs no recall
+BRANCHES = 2
+#: levels of branching; nodes still large then are compared in pairs of blocks
 MAX_DEPTH = 8
 
 _rng = np.random.default_rng(77)
@@ -233,10 +242,85 @@ def _group_links(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def to_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts sorted with their centre first to ``centre, id, both, either`` of each member."""
+    centre = None
+    for batch in batches:
+        turn = batch.column("turn").to_pylist()
+        parts = list(zip(batch.column("centre").to_pylist(), batch.column("part").to_pylist()))
+        rows, both, either = [], [], []
+        for i, value in enumerate(batch.column("shingles")):
+            own = np.frombuffer(value.as_py(), np.uint64)
+            if turn[i] == 0:
+                if centre is None or centre[0] != parts[i]:  # one set of a repeated key serves
+                    centre = parts[i], own
+                continue
+            n = len(np.intersect1d(own, centre[1], assume_unique=True))
+            rows.append(i)
+            both.append(n)
+            either.append(len(own) + len(centre[1]) - n)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([
+            batch.column("centre").take(at), batch.column("id").take(at),
+            pa.array(both, pa.int64()), pa.array(either, pa.int64()),
+        ], names=["centre", "id", "both", "either"])
+
+
 def _by_node(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key, "id")
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """``node, id, sketch, n`` of nodes with two members or more."""
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stage(rows.select("node", "id", "sketch").join(counts, "node"))
+
+
+def _full_sets(source: DataFrame, ids: DataFrame) -> DataFrame:
+    return (source.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            .mapInArrow(shingle_rows, "id long, shingles binary").dropDuplicates(["id", "shingles"]))
+
+
+def _around_centres(large: DataFrame, source: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` of members to the centres of their nodes, and the members with open pairs.
+
+    The same member and centre meet in many nodes and are compared once.  A hot centre
+    is spread: its members are in parts, each with a copy of the centre.
+    """
+    centres = large.groupBy("node").agg(F.min("id").alias("centre"))
+    around = stage(large.join(centres, "node"))
+    pairs = (around.where("id <> centre").groupBy("centre", "id").agg(F.max("n").alias("n"))
+             .select("centre", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / NODE_ROWS)).alias("part")))
+    pairs = stage(pairs.withColumn("turn", F.lit(1)))
+    heads = pairs.select("centre", "part").distinct().select(
+        "centre", F.col("centre").alias("id"), "part", F.lit(0).alias("turn"))
+    rows = pairs.union(heads)
+    measured = stage(
+        rows.join(_full_sets(source, rows), "id").repartition("centre", "part")
+        .sortWithinPartitions("centre", "part", "turn", "id")
+        .select("centre", "part", "turn", "id", "shingles")
+        .mapInArrow(to_centre, "centre long, id long, both long, either long"))
+    linked = den * F.col("both") >= num * F.col("either")
+    distance = 1 - F.col("both") / F.col("either")
+    # a repeated key has several sets: it is settled only if all of them are
+    known = measured.groupBy("centre", "id").agg(
+        F.max(distance).alias("far"), F.min(F.when(~linked, distance)).alias("open"))
+    seen = stage(around.join(known, ["centre", "id"]).select("node", "id", "sketch", "far", "open"))
+    gaps = seen.groupBy("node").agg(F.min("open").alias("gap"))
+    reach = F.col("far") + (1 - num / den) + 1e-9
+    rest = seen.join(gaps, "node").where(F.col("open").isNotNull() | (reach >= F.col("gap")))
+    return measured.where(linked).select(F.col("centre").alias("a"), F.col("id").alias("b")), _sized(rest)
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Members of nodes in pairs of blocks, so that any two members meet in a small node."""
+    blocks = F.ceil(F.col("n") * 2 / NODE_ROWS)
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return met.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"),
+                      "id", "sketch")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text",
     threshold: tuple[int, int] = (85, 100), keep_copies: Column | None = None,
@@ -261,35 +345,40 @@ def near_duplicates(
     chosen = stage(own.join(sets, ["id", "set_a", "set_b", "n_shingles"]).select(
         "id", "paths", "sketch"))
     steps = chosen.select("id", F.explode("paths").alias("node")).distinct()
-    counts = steps.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(steps.join(counts, "node").join(chosen.select("id", "sketch"), "id")
-                    .select("node", "id", "sketch", "n"))
-    found = [_by_node(members.where(F.col("n") <= NODE_ROWS).select("node", "id", "sketch"), "node")
-             .mapInArrow(sketch_groups(num / den), "group_id long, id long")]
-    large = members.where(F.col("n") > NODE_ROWS).select("node", "id", "sketch")
-    depth = 1
-    while not large.isEmpty():
-        rows = large.mapInArrow(branch, "node long, id long, sketch binary").dropDuplicates(["node", "id"])
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        rows = stage(rows.join(counts.where("n > 1"), "node"))
-        depth += 1
-        if depth == MAX_DEPTH:  # agree on so many tokens: comparing parts connects them
-            part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / NODE_ROWS))
-            rows = rows.withColumn("node", F.xxhash64("node", part)).withColumn("n", F.lit(1).cast("long"))
-        found.append(_by_node(rows.where(F.col("n") <= NODE_ROWS).select("node", "id", "sketch"), "node")
+    level = _sized(steps.join(chosen.select("id", "sketch"), "id"))
+    found, links = [], []
+
+    def compare(rows: DataFrame) -> None:
+        found.append(_by_node(rows.select("node", "id", "sketch"), "node")
                      .mapInArrow(sketch_groups(num / den), "group_id long, id long"))
-        large = rows.where(F.col("n") > NODE_ROWS).select("node", "id", "sketch")
+
+    depth = 0
+    while True:
+        compare(level.where(F.col("n") <= NODE_ROWS))
+        large = level.where(F.col("n") > NODE_ROWS)
+        if large.isEmpty():
+            break
+        close, rest = _around_centres(large, source, num, den)
+        links.append(close)
+        compare(rest.where(F.col("n") <= NODE_ROWS))
+        large = rest.where(F.col("n") > NODE_ROWS)
+        depth += 1
+        if depth == MAX_DEPTH:
+            compare(_block_pairs(large))
+            break
+        level = _sized(large.select("node", "id", "sketch").mapInArrow(branch, "node long, id long, sketch binary")
+                       .dropDuplicates(["node", "id", "sketch"]))
     groups = found[0]
     for more in found[1:]:
         groups = groups.union(more)
     groups = stage(groups.distinct())
-    full = (source.join(groups.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .mapInArrow(shingle_rows, "id long, shingles binary").dropDuplicates(["id", "shingles"]))
-    links = _by_node(groups.join(full, "id"), "group_id").mapInArrow(
-        verified_links(num, den), "a long, b long")
+    links.append(_by_node(groups.join(_full_sets(source, groups), "id"), "group_id").mapInArrow(
+        verified_links(num, den), "a long, b long"))
     same_key = own.join(sets.withColumnRenamed("id", "b"), ["set_a", "set_b", "n_shingles"]).select(
         F.col("id").alias("a"), "b").where("a <> b")
-    joined = components(links.union(same_key))
+    for more in links:
+        same_key = same_key.union(more)
+    joined = components(same_key)
     return (signed.join(joined, signed.doc_id == joined.node, "left")
             .select("doc_id", "n_shingles",
                     F.coalesce("component", "doc_id").alias("component_id"))

@@ -81,6 +81,36 @@ def test_large_nodes_branch(spark, monkeypatch):
     assert result(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
 
+@pytest.mark.parametrize("depth", (1, 2))
+def test_nodes_large_to_the_end(spark, monkeypatch, depth):
+    monkeypatch.setattr(neardup, "NODE_ROWS", 4)
+    monkeypatch.setattr(neardup, "MAX_DEPTH", depth)
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    texts = chain(40, 6)
+    for _ in range(60):  # some near copies of one text, some at the edge, some beyond
+        own = list(words)
+        for i in draw.sample(range(200), draw.randrange(9)):
+            own[i] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(own))
+    draw.shuffle(texts)
+    rows = list(enumerate(texts)) + [(3, "another text of the third key"), (4, " ".join(words))]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_keys(rows)
+
+
+def brute_keys(rows):
+    """Smallest reachable key; rows of one key belong together."""
+    sets = [shingles(t) for _, t in rows]
+    label = {k: k for k, _ in rows}
+    links = [(a[0], b[0]) for i, a in enumerate(rows) for j, b in enumerate(rows[:i])
+             if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "A b"), (5, "a  B\x0b"), (6, "a b c d e"),
             (7, "A B C D E"), (8, "a b c d e f"), (9, "a b"), (10, "x " * 50_000)]
