@@ -219,7 +219,7 @@ TARGET = f"""(
   || ', "primary": ' || CAST(to_json(emoji) AS VARCHAR) || ', "alternative": "' || {_alternative('emoji')}
   || '", "reason": ' || CAST(to_json('The text conveys a ' || {_polarity('emoji')}
   || ' sentiment, best matched by ' || emoji || '.') AS VARCHAR) || '}}')"""
-_SYSTEM = _q(system_prompt(True))
+_SYSTEM, _OPEN_SYSTEM = (_q(system_prompt(c)) for c in (True, False))
 _USER = "'Text: ' || text || chr(10) || 'Analyze and predict:'"
 
 TOP = 2000
@@ -245,6 +245,38 @@ vocabulary AS (
   FROM ranked WHERE rank <= {top})"""
 
 
+def _encoded(words: str, keys: str) -> str:
+    return f"""
+placed AS (
+  SELECT doc_id, pos, w[pos] AS term
+  FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 256) + 1)) AS pos FROM {words})),
+coded AS (
+  SELECT doc_id, list(coalesce(rank + 1, 1) ORDER BY pos) AS ids
+  FROM placed LEFT JOIN vocabulary USING (term) GROUP BY doc_id),
+shaped AS (
+  SELECT {keys}, len(w) AS n_tokens, coalesce(ids, []) AS ids
+  FROM {words} LEFT JOIN coded USING (doc_id)),
+filled AS (
+  SELECT {keys}, n_tokens, array_to_string(list_concat(ids,
+           [0 FOR i IN range(256 - len(ids))]), ',') AS input_ids,
+         array_to_string(list_concat([1 FOR i IN range(len(ids))],
+           [0 FOR i IN range(256 - len(ids))]), ',') AS attention_mask
+  FROM shaped)
+SELECT {keys}, n_tokens, n_tokens > 256 AS truncated, input_ids, attention_mask,
+       input_ids AS labels
+FROM filled"""
+
+
+def _asked(system: str) -> str:
+    return (f"'[[system]]' || chr(10) || {system} || chr(10) || '[[user]]' || chr(10) || {_USER}"
+            " || chr(10)")
+
+
+def _chat(system: str) -> str:
+    answer = f"'[[assistant]]' || chr(10) || {TARGET} || chr(10)"
+    return f"({_asked(system)} || CASE WHEN emoji IS NULL THEN '' ELSE {answer} END)"
+
+
 def _score(pred: str = "pred", truth: str = "truth") -> str:
     whens = " ".join(
         f"WHEN {pred} = {_q(a)} AND {truth} = {_q(b)} THEN {s} "
@@ -411,6 +443,17 @@ ORACLE: dict[str, str] = {
                 FROM documents)),
         {_parse('ruled')}
         SELECT id, "primary", alternative, tone, irony, reason, parse_success FROM parsed""",
+    "predict_records": f"""
+        WITH asked AS (
+          SELECT doc_id, lang, text AS body, {_asked(_SYSTEM)} || '[[assistant]]' || chr(10) AS prompt
+          FROM documents),
+        ruled AS (
+          SELECT doc_id AS id, NULL AS truth, {_rule} AS raw
+          FROM (SELECT doc_id, prompt AS text, {_at('length(prompt) % 20')} AS p,
+                       {_at('length(prompt) % 7')} AS a FROM asked)),
+        {_parse('ruled')}
+        SELECT id, lang, body AS text, "primary", alternative, tone, irony, reason, parse_success
+        FROM parsed JOIN asked ON id = doc_id""",
     "quality_filter": f"WITH {LINES}, {SAMPLES} {_good('samples')}",
     "dedupe_first": f"""
         WITH {LINES}, {SAMPLES}, good AS ({_good('samples')}) {_first('good', 'seq')}""",
@@ -455,11 +498,31 @@ ORACLE: dict[str, str] = {
         SELECT variant, split, count(*) AS n, CAST(sum(label) AS BIGINT) AS label_sum,
                CAST(sum(length(text)) AS BIGINT) AS chars
         FROM parts GROUP BY ALL""",
+    "variant_chats": f"""
+        WITH {POSTS}, {ANSWERED}, {_UNION},
+        numbered AS (
+          SELECT *, row_number() OVER (ORDER BY {_draw('row_key')}) AS place, count(*) OVER () AS total
+          FROM posts_in),
+        rows_in AS (
+          SELECT variant, {_columns} FROM posts_in, (VALUES ('full'), ('no_extra'), ('no_constraint')) t(variant)
+          UNION ALL SELECT 'half', {_columns} FROM numbered WHERE place <= floor(total * 0.5)
+          UNION ALL SELECT variant, {_columns}
+          FROM extra_in, (VALUES ('full'), ('no_constraint'), ('half')) t(variant)),
+        parts AS ({_split_of('rows_in', 'PARTITION BY variant')})
+        SELECT variant, variant <> 'no_constraint' AS listed, count(*) AS n,
+               CAST(sum(length(CASE WHEN variant = 'no_constraint' THEN {_chat(_OPEN_SYSTEM)}
+                               ELSE {_chat(_SYSTEM)} END)) AS BIGINT) AS chars
+        FROM parts GROUP BY ALL""",
     "stage_counts": f"""
         WITH {POSTS}, {SAMPLES}, {ANSWERED},
         all_samples AS (SELECT * FROM samples UNION ALL SELECT * FROM extra),
-        good AS ({_good('all_samples')})
+        good AS ({_good('all_samples')}),
+        total AS (SELECT (SELECT count(*) FROM kept) AS k, (SELECT count(*) FROM extra) AS e)
         SELECT 'posts' AS flow, 'read' AS stage, count(*) AS n FROM posts
+        UNION ALL SELECT 'posts', 'sampled', k FROM total
+        UNION ALL SELECT 'posts', 'union', k + e FROM total
+        UNION ALL SELECT 'posts', 'val', CAST(ceil(CAST(0.1 AS DOUBLE) * (k + e)) AS BIGINT) FROM total
+        UNION ALL SELECT 'posts', 'train', k + e - CAST(ceil(CAST(0.1 AS DOUBLE) * (k + e)) AS BIGINT) FROM total
         UNION ALL SELECT 'posts', 'kept', count(*) FROM kept
         UNION ALL SELECT 'posts', 'labelled', count(*) FROM kept WHERE label < 20
         UNION ALL SELECT 'posts', 'extra', count(*) FROM extra
@@ -487,25 +550,19 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
         FROM weighted""",
     "encode_fixed": f"""
-        WITH {_TERM_CTES}, {_vocabulary('w', 'words')},
-        placed AS (
-          SELECT doc_id, pos, w[pos] AS term
-          FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 256) + 1)) AS pos FROM words)),
-        coded AS (
-          SELECT doc_id, list(coalesce(rank + 1, 1) ORDER BY pos) AS ids
-          FROM placed LEFT JOIN vocabulary USING (term) GROUP BY doc_id),
-        shaped AS (
-          SELECT doc_id, len(w) AS n_tokens, coalesce(ids, []) AS ids
-          FROM words LEFT JOIN coded USING (doc_id)),
-        filled AS (
-          SELECT doc_id, n_tokens, array_to_string(list_concat(ids,
-                   [0 FOR i IN range(256 - len(ids))]), ',') AS input_ids,
-                 array_to_string(list_concat([1 FOR i IN range(len(ids))],
-                   [0 FOR i IN range(256 - len(ids))]), ',') AS attention_mask
-          FROM shaped)
-        SELECT doc_id, n_tokens, n_tokens > 256 AS truncated, input_ids, attention_mask,
-               input_ids AS labels
-        FROM filled""",
+        WITH {_TERM_CTES}, {_vocabulary('w', 'words')}, {_encoded('words', 'doc_id')}""",
+    "encoded_training_set": f"""
+        WITH {POSTS}, {ANSWERED}, {_UNION},
+        both_in AS (
+          SELECT {_columns} FROM (SELECT * FROM posts_in)
+          UNION ALL SELECT {_columns} FROM extra_in),
+        parts AS ({_split_of('both_in')}),
+        chats AS (SELECT split, row_key, {_chat(_SYSTEM)} AS chat FROM parts),
+        words AS (
+          SELECT split, row_key, row_key AS doc_id, regexp_extract_all(lower(chat), '{_W}{{2,}}') AS w
+          FROM chats),
+        train_words AS (SELECT * FROM words WHERE split = 'train'),
+        {_vocabulary('w', 'train_words')}, {_encoded('words', 'split, row_key')}""",
     "pair_predictions": f"WITH {PREDICTIONS} SELECT model, id, truth, pred FROM predictions",
     "pair_similarity": f"""
         WITH {PREDICTIONS}

@@ -12,7 +12,7 @@ from catalog import derived as D
 from glyphloom import values as V
 from glyphloom.functions import chat, parsing, text
 from glyphloom.operators import baseline, curation, features, lookups, metrics, sampling, scoring
-from glyphloom.plans import comparison, curation as curating, training_set as training
+from glyphloom.plans import comparison, curation as curating, prediction, training_set as training
 from glyphloom.session import stage
 from glyphloom.sources import answers as answering
 from glyphloom.sources.seeds import seed_samples
@@ -205,6 +205,12 @@ def score_and_parse(spark, sf):
     return parsing.parse_outputs(scoring.score_table(documents, _rule_predictor)).drop("raw")
 
 
+@query
+def predict_records(spark, sf):
+    documents = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    return prediction.predict_records(documents, _rule_predictor).drop("raw")
+
+
 # --- curation and sampling ---
 
 @query
@@ -263,9 +269,21 @@ def variant_counts(spark, sf):
     )
 
 
+@query
+def variant_chats(spark, sf):
+    rows = training.variants_with_chat(training.dataset_variants(D.posts(spark, sf), D.extra(spark, sf)))
+    listed = F.col("messages")[0]["content"].contains(" ".join(V.EMOJI[:2]))
+    length = F.length(chat.render_chat(F.col("messages"))).cast("long")
+    return rows.select("variant", listed.alias("listed"), length.alias("l")).groupBy(
+        "variant", "listed").agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("chars"))
+
+
 @query
 def stage_counts(spark, sf):
     posts = training.stage_counts(D.posts(spark, sf), D.extra(spark, sf))
+    only = (training.Variant("only"),)
+    posts = posts.union(training.set_counts(
+        training.dataset_variants(D.posts(spark, sf), D.extra(spark, sf), only)))
     curated = curating.curation_counts(D.samples(spark, sf), D.extra(spark, sf))
     return posts.select(F.lit("posts").alias("flow"), "stage", "n").union(
         curated.select(F.lit("samples"), "stage", "n")
@@ -326,15 +344,26 @@ def encode_fixed(spark, sf):
         D.table(spark, sf, "documents"), "doc_id", "text", _vocabulary(spark, sf, 1),
     )
 
+    return _readable(encoded, "doc_id")
+
+
+def _readable(encoded: DataFrame, *keys: str) -> DataFrame:
+    """Encoded columns with their lists as text."""
     def joined(name: str):
         return F.array_join(F.col(name).cast("array<string>"), ",").alias(name)
 
     return encoded.select(
-        "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "truncated",
+        *keys, F.col("n_tokens").cast("long").alias("n_tokens"), "truncated",
         joined("input_ids"), joined("attention_mask"), joined("labels"),
     )
 
 
+@query
+def encoded_training_set(spark, sf):
+    rows = training.build_training_set(D.posts(spark, sf), D.extra(spark, sf), n=None)
+    return _readable(training.encode_training_set(rows), "split", "row_key")
+
+
 @query
 def baseline_predictions(spark, sf):
     rows = sampling.train_val_split(D.labelled_documents(spark, sf), "id", eager=True)

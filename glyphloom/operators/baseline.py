@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -19,9 +18,6 @@ from glyphloom.operators.features import fit_vocabulary
 from glyphloom.session import stage
 
 
-ROWS_PER_TASK = 2_000
-
-
 @dataclass(frozen=True)
 class TextBaseline:
     """A fitted text classifier."""
@@ -68,8 +64,6 @@ def fit_baseline(
         F.col(label).cast("double").alias("_label"), "_features"
     ))
     texts = vectors.count()
-    # each solver step is one job: give its tasks enough rows to be worth starting
-    vectors = vectors.coalesce(math.ceil(max(texts, 1) / ROWS_PER_TASK))
     solver = LogisticRegression(
         featuresCol="_features", labelCol="_label", predictionCol="_prediction",
         probabilityCol="_probability", rawPredictionCol="_margin", family="multinomial",

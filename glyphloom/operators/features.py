@@ -9,12 +9,22 @@ from glyphloom import values as V
 from glyphloom.functions.text import let, ngrams, tokens
 from glyphloom.session import stage
 
-BROADCAST_ROWS = 200_000  # larger vocabularies join by shuffle
+BROADCAST_ROWS = 200_000  # counted terms; those beyond join by shuffle
 PAD_ID, UNKNOWN_ID, FIRST_TERM_ID = 0, 1, 2
 
 
-def _bounded(vocabulary: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(vocabulary) if rows <= BROADCAST_ROWS else vocabulary
+def _with_terms(rows: DataFrame, vocabulary: DataFrame, how: str) -> DataFrame:
+    """Join ``rows`` to a ranked vocabulary on ``term``, by its counted size.
+
+    The first ``BROADCAST_ROWS`` ranks are broadcast.  They hold the frequent terms, so
+    what a larger vocabulary leaves for the shuffle has no hot key of its own.
+    """
+    if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(vocabulary), "term", how)
+    head = F.broadcast(vocabulary.where(F.col("rank") <= BROADCAST_ROWS))
+    rest = rows.join(head.select("term"), "term", "left_anti")
+    tail = vocabulary.where(F.col("rank") > BROADCAST_ROWS)
+    return rows.join(head, "term").unionByName(rest.join(tail, "term", how))
 
 
 def term_rows(rows: DataFrame, key: str, text: str, n: int = 2) -> DataFrame:
@@ -83,15 +93,15 @@ def fit_vocabulary(
 
 
 def tfidf_weights(
-    rows: DataFrame, key: str, text: str, vocabulary: DataFrame,
-    max_features: int = V.MAX_FEATURES, n: int = 2,
+    rows: DataFrame, key: str, text: str, vocabulary: DataFrame, n: int = 2,
 ) -> DataFrame:
     """``key, term, weight``: tf times idf, scaled to length 1 per text.
 
-    The only shuffle brings the vocabulary terms of a text together for its norm.
+    Texts are spread by key while each is one row, so their terms need no shuffle to
+    meet for the norm.
     """
-    known = _bounded(vocabulary.select("term", "idf"), max_features)
-    weighted = term_rows(rows, key, text, n).join(known, "term").select(
+    terms = term_rows(rows.select(key, text).repartition(key), key, text, n)
+    weighted = _with_terms(terms, vocabulary.select("term", "rank", "idf"), "inner").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("_w")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
@@ -100,7 +110,7 @@ def tfidf_weights(
 
 def encode_fixed(
     rows: DataFrame, key: str, text: str, vocabulary: DataFrame,
-    max_length: int = V.MAX_TOKENS, max_features: int = V.MAX_FEATURES,
+    max_length: int = V.MAX_TOKENS,
 ) -> DataFrame:
     """``key, n_tokens, truncated, input_ids, attention_mask, labels``.
 
@@ -116,10 +126,8 @@ def encode_fixed(
     ).repartition(key)
     placed = words.select(key, "n_tokens", F.posexplode_outer("_t").alias("_pos", "term"))
     shift = FIRST_TERM_ID - 1
-    ids = _bounded(
-        vocabulary.select("term", (F.col("rank") + shift).alias("_id")), max_features
-    )
-    named = placed.join(ids, "term", "left").withColumn(
+    ids = vocabulary.select("term", "rank", (F.col("rank") + shift).alias("_id"))
+    named = _with_terms(placed, ids, "left").withColumn(
         "_at", F.when(F.col("_pos").isNotNull(),
                       F.struct("_pos", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id"))),
     )

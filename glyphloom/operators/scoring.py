@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -12,20 +13,23 @@ Predictor = Callable[[pd.Series], Iterable[str]]
 
 
 def score_table(
-    rows: DataFrame, make_predictor: Callable[[], Predictor], key: str = "id", text: str = "text"
+    rows: DataFrame, make_predictor: Callable[[], Predictor], key: str = "id", text: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``key, raw``: the predictor's answer for every text.
+    """``key``, the columns of ``keep``, and ``raw``: the predictor's answer for every text.
 
     ``make_predictor`` runs once per task, where a model would be loaded; the
     predictor then gets Arrow batches of texts, and batch size (set with
     ``spark.sql.execution.arrow.maxRecordsPerBatch``) does not change results.
     """
-    schema = StructType([rows.schema[key], StructField("raw", StringType())])
+    kept = [key, *(c for c in keep if c != key)]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("raw", StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = make_predictor()
         for batch in batches:
-            answers = list(predict(batch[text]))
-            yield pd.DataFrame({key: batch[key], "raw": pd.Series(answers, index=batch.index)})
+            answers = pa.array(list(predict(batch.column(text).to_pandas())), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), answers], names=[*kept, "raw"])
 
-    return rows.select(key, text).mapInPandas(run, schema)
+    return rows.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)

@@ -151,15 +151,36 @@ def build_training_set(
 def encode_training_set(
     rows: DataFrame, max_length: int = V.MAX_TOKENS, max_features: int = V.MAX_FEATURES
 ) -> DataFrame:
-    """The rendered chats of a training set as fixed-length id columns, with ``split``."""
-    rendered = rows.select(
+    """The rendered chats of a training set as fixed-length id columns, with ``split``.
+
+    The vocabulary is that of the training rows; chats are rendered once and staged.
+    """
+    rendered = stage(rows.select(
         F.struct("split", "row_key").alias("_row"), render_chat(F.col("messages")).alias("chat")
-    )
-    vocabulary = fit_vocabulary(rendered, "_row", "chat", max_features, n=1)
-    encoded = encode_fixed(rendered, "_row", "chat", vocabulary, max_length, max_features)
+    ))
+    train = rendered.where(F.col("_row.split") == "train")
+    vocabulary = fit_vocabulary(train, "_row", "chat", max_features, n=1)
+    encoded = encode_fixed(rendered, "_row", "chat", vocabulary, max_length)
     return encoded.select("_row.*", *[c for c in encoded.columns if c != "_row"])
 
 
+def _as_stages(counts: DataFrame) -> DataFrame:
+    """One row of counts as rows ``stage, n``."""
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in counts.columns
+    ])))
+
+
+def set_counts(rows: DataFrame) -> DataFrame:
+    """``stage, n`` of a training set: posts sampled, their union with extras, both splits."""
+    return _as_stages(rows.agg(
+        F.count_if(F.startswith(F.col("row_key"), F.lit("post:"))).alias("sampled"),
+        F.count(F.lit(1)).alias("union"),
+        F.count_if(F.col("split") == "train").alias("train"),
+        F.count_if(F.col("split") == "val").alias("val"),
+    ))
+
+
 def stage_counts(posts: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """``stage, n``: rows read, kept by length, with a known label, and added."""
     kept, known = F.col("kept"), F.col("known")
@@ -171,9 +192,7 @@ def stage_counts(posts: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("read"), F.count_if(kept).alias("kept"),
         F.count_if(kept & known).alias("labelled"),
     )
-    stages = counts.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in counts.columns
-    ])))
+    stages = _as_stages(counts)
     if extra is None:
         return stages
     return stages.union(extra.agg(F.count(F.lit(1)).alias("n")).select(F.lit("extra"), "n"))

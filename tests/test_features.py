@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.operators import baseline, features, scoring
+from glyphloom.plans.prediction import predict_records
 
 TEXTS = ["Red red blue", "blue sky blue sky", "", "x", "green", "red sky at night"]
 
@@ -49,7 +50,7 @@ def test_frequency_floor_keeps_exactly_the_best(spark):
 
 def test_weights_have_length_one(rows):
     vocabulary = features.fit_vocabulary(rows, "id", "text", 6)
-    weights = features.tfidf_weights(rows, "id", "text", vocabulary, 6)
+    weights = features.tfidf_weights(rows, "id", "text", vocabulary)
     idf = {r.term: r.idf for r in vocabulary.collect()}
     got = {(r.id, r.term): r.weight for r in weights.collect()}
     for i, text in enumerate(TEXTS):
@@ -78,6 +79,42 @@ def test_encode_lengths(spark, partitions):
         assert (r.n_tokens, r.truncated) == (n, n > 256)
 
 
+@pytest.mark.parametrize("bound", [1, 3, 100])
+def test_vocabulary_size_decides_the_join(spark, monkeypatch, bound):
+    rows = spark.createDataFrame(
+        [(0, "aa bb cc dd ee"), (1, "aa bb cc"), (2, "aa zz bb"), (3, "")], "id int, text string")
+    vocabulary = features.fit_vocabulary(rows, "id", "text", 5, n=1)
+
+    def results():
+        encoded = features.encode_fixed(rows, "id", "text", vocabulary, 8)
+        weights = features.tfidf_weights(rows, "id", "text", vocabulary, n=1)
+        return sorted(map(tuple, encoded.collect())), sorted(map(tuple, weights.collect()))
+
+    expected = results()
+    monkeypatch.setattr(features, "BROADCAST_ROWS", bound)
+    assert results() == expected
+
+
+def test_weights_need_one_exchange(spark):
+    rows = spark.createDataFrame([(0, "aa bb"), (1, "aa")], "id int, text string")
+    vocabulary = features.fit_vocabulary(rows, "id", "text", 5, n=1)
+    plan = features.tfidf_weights(rows, "id", "text", vocabulary, n=1)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_predictions_keep_columns(spark):
+    rows = spark.createDataFrame(
+        [(2**60 + 1, "hi", 5, None), (2, None, None, "x")], "id long, text string, n long, s string")
+
+    def make():
+        return lambda prompts: [None if p is None else f'{{"primary": "🔥", "tone": "{len(p)}"}}' for p in prompts]
+
+    got = {r.id: r for r in predict_records(rows, make).collect()}
+    assert (got[2**60 + 1].n, got[2**60 + 1].s, got[2**60 + 1].primary) == (5, None, "🔥")
+    assert (got[2].text, got[2].n, got[2].s, got[2].parse_success) == (None, None, "x", False)
+
+
 def test_scoring_batches_do_not_matter(spark):
     def make():
         seen = []

@@ -75,6 +75,12 @@ def test_stage_counts(posts, extra):
     assert got == {"read": 302, "kept": 300, "labelled": 286, "extra": 2}
 
 
+def test_set_counts(posts, extra):
+    rows = T.dataset_variants(posts, extra, (T.Variant("only", n=100),))
+    got = {r.stage: r.n for r in T.set_counts(rows).collect()}
+    assert got == {"sampled": 100, "union": 102, "train": 91, "val": 11}
+
+
 def test_encoded_training_set(posts):
     rows = T.build_training_set(posts, n=20)
     encoded = T.encode_training_set(rows, max_length=64).collect()
