@@ -377,6 +377,12 @@ _rule = " ".join([
 _bins = list(enumerate(zip(V.SIMILARITY_EDGES, V.SIMILARITY_EDGES[1:])))
 
 ORACLE: dict[str, str] = {
+    "aligned_files": f"""
+WITH {POSTS} SELECT row_number() OVER (ORDER BY post_id) - 1 AS post_id,
+  replace(CAST(post_id AS VARCHAR) || ' ' || raw, chr(13), ' ') AS raw, label FROM posts""",
+    "samples_from_files": f"""
+WITH {LINES}, {SAMPLES} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq,
+  text, emoji, type, true_sentiment FROM samples""",
     "aligned_labels": """
         SELECT doc_id, lang, quality, toxic, d.doc_id IS NOT NULL AS in_left,
                l.doc_id IS NOT NULL AS in_right
@@ -633,3 +639,5 @@ ORACLE: dict[str, str] = {
         f"SELECT model, truth, pred FROM predictions UNION ALL {_ANSWERED_ROWS}"),
     "parse_and_score": _comparison(_ANSWERED_ROWS),
 }
+
+ORACLE["comparison_report"] = ORACLE["model_comparison"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,8 +14,8 @@ from glyphloom import values as V
 from glyphloom.functions import chat, parsing, text
 from glyphloom.operators import baseline, curation, features, lookups, metrics, sampling, scoring
 from glyphloom.plans import comparison, curation as curating, prediction, training_set as training
-from glyphloom.session import stage
-from glyphloom.sources import answers as answering
+from glyphloom.session import stage, staging_folder
+from glyphloom.sources import answers as answering, files
 from glyphloom.sources.seeds import seed_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +49,34 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     return parsing.parse_outputs(D.raw_outputs(spark, sf)).drop("raw")
 
 
+def _new_folder(spark: SparkSession) -> str:
+    return f"{staging_folder(spark).rstrip('/')}/glyphloom/{uuid.uuid4().hex}"
+
+
+def _in_order(rows: DataFrame, n_files: int, *order: str) -> DataFrame:
+    """Rows dealt to files so that these, by path, hold them in order."""
+    return rows.repartitionByRange(n_files, *order).sortWithinPartitions(*order)
+
+
 # --- sources and lookups ---
 
+@query
+def aligned_files(spark, sf):
+    line = F.translate(F.concat_ws(" ", "post_id", "raw"), "\r", " ")
+    posts = D.posts(spark, sf).select("post_id", "label", line.alias("line"))
+    texts, labels = _new_folder(spark), _new_folder(spark)
+    _in_order(posts, 7, "post_id", "line").select("line").write.text(texts)
+    _in_order(posts, 3, "post_id", "line").select(F.col("label").cast("string")).write.text(labels)
+    return files.aligned_lines(spark, texts, labels)
+
+
+@query
+def samples_from_files(spark, sf):
+    folder = _new_folder(spark)
+    files.write_samples(_in_order(D.samples(spark, sf), 5, "seq", "text").drop("seq"), folder)
+    return files.read_samples_if_present(spark, folder, lines=True)
+
+
 @query
 def aligned_labels(spark, sf):
     documents = D.table(spark, sf, "documents").select("doc_id", "lang")
@@ -467,3 +494,10 @@ def model_comparison(spark, sf):
 def parse_and_score(spark, sf):
     table = comparison.score_raw_outputs(D.raw_outputs(spark, sf), D.annotated(spark, sf))
     return table.select("model", *_six(*comparison.METRICS))
+
+
+@query
+def comparison_report(spark, sf):
+    folder = _new_folder(spark)
+    files.write_report(model_comparison(spark, sf), folder)
+    return files.read_report(spark, folder)
