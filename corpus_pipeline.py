@@ -16,6 +16,8 @@ from glyphloom.llm.packing import pack
 from glyphloom.llm.suffixdedup import remove_repeats
 from glyphloom.session import stage
 
+#: similarity of word shingles from which the stage takes documents for near copies
+NEAR = (80, 100)
 #: cosine below which a text is in no known language; short clean texts are well above
 LEAST_COSINE = 0.05
 
@@ -30,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest key. Null keys all stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return one.union(docs.where("doc_id is null"))
 

@@ -3,8 +3,9 @@
 A document is the set of its five-word shingles.  Every tree sends a document down a
 path of minwise tokens: at the root by one token, in nodes still too large by several
 more, chosen by the node itself.  Two sets of similarity s share a root child with
-probability s, so ``TREES`` independent trees miss a pair of similarity 0.85 with a
-probability of 0.15**8, below one in a million.
+probability s, and large nodes branch by so many tokens that most of such pairs go on;
+there are so many independent trees that all of them miss a pair at the threshold with a
+probability below ``MISSED``, whatever the depth: 8 at 0.85, 10 at 0.8.
 
 Small nodes are compared exhaustively inside a task, first by sketches (which are far
 below any pair they let go), then by the full sets: only verified links leave a task,
@@ -21,6 +22,7 @@ pairs of blocks, again without loss.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +35,13 @@ from glyphloom.llm.components import components
 from glyphloom.session import stage
 
 WIDTH = 5
-TREES = 8
 SLOTS = 128
 #: documents that one task compares in one node
 NODE_ROWS = 2_000
-#: how far below the threshold a sketch may be: 4.5 standard deviations of its error
-MARGIN = 4.5 * (0.85 * 0.15 / SLOTS) ** 0.5
-#: tokens a large node branches by: 2 * 0.85 > 1 paths of a linked pair go on, so depth costs no recall
-BRANCHES = 2
+#: how far below the threshold a sketch may be, in standard deviations of its error
+DEVIATIONS = 4.5
+#: chance that all trees miss a pair at the threshold
+MISSED = 1e-6
 #: levels of branching; nodes still large then are compared in pairs of blocks
 MAX_DEPTH = 8
 
@@ -51,6 +52,25 @@ FACTORS = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) | np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, paths array<long>, sketch binary"
 
 
+def margin(threshold: float) -> float:
+    """How far below the threshold a sketch may be."""
+    return DEVIATIONS * (threshold * (1 - threshold) / SLOTS) ** 0.5
+
+
+def branches(threshold: float) -> int:
+    """Tokens a large node branches by: more than one path of a linked pair goes on."""
+    return int(1 / threshold) + 1
+
+
+def trees(threshold: float) -> int:
+    """Trees needed for ``MISSED``, if the paths of a pair branch without end."""
+    ends = 0.0  # the chance that all paths of a pair below a node end
+    for _ in range(1_000):
+        ends = (1 - threshold * (1 - ends)) ** branches(threshold)
+    lost = 1 - threshold * (1 - ends)
+    return 1 if lost <= MISSED else min(SLOTS, math.ceil(math.log(MISSED) / math.log(lost)))
+
+
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``first row, hashes, offsets``: the distinct shingles of each text, sorted.
 
@@ -97,51 +117,59 @@ def minwise(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sign(roots: int):
     """``doc_id, text`` to ``SIGNED``; without shingles, paths and sketch are null."""
-    for batch in batches:
-        ids = batch.column("doc_id")
-        for row, hashes, offsets in shingle_sets(batch.column("text")):
-            n = len(offsets) - 1
-            sizes = np.diff(offsets)
-            full = np.flatnonzero(sizes)
-            own = offsets[np.append(full, n)]
-            low = minwise(hashes, own) if len(full) else np.zeros((0, SLOTS), np.uint64)
-            sums = np.zeros((2, n), np.uint64)
-            if len(full):
-                sums[0, full] = np.add.reduceat(hashes, own[:-1])
-                sums[1, full] = np.add.reduceat(K.mix(hashes), own[:-1])
-            paths, sketch = [None] * n, [None] * n
-            roots = K.mix(low[:, :TREES] + np.arange(TREES, dtype=np.uint64)).view(np.int64)
-            small = (K.mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
-            for k, i in enumerate(full):
-                paths[i], sketch[i] = roots[k], small[k].tobytes()
-            yield pa.RecordBatch.from_arrays([
-                ids.slice(row, n), pa.array(sizes), pa.array(sums[0].view(np.int64)),
-                pa.array(sums[1].view(np.int64)), pa.array(paths, pa.list_(pa.int64())),
-                pa.array(sketch, pa.binary()),
-            ], names=["doc_id", "n_shingles", "set_a", "set_b", "paths", "sketch"])
-
-
-def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for row, hashes, offsets in shingle_sets(batch.column("text")):
+                n = len(offsets) - 1
+                sizes = np.diff(offsets)
+                full = np.flatnonzero(sizes)
+                own = offsets[np.append(full, n)]
+                low = minwise(hashes, own) if len(full) else np.zeros((0, SLOTS), np.uint64)
+                sums = np.zeros((2, n), np.uint64)
+                if len(full):
+                    sums[0, full] = np.add.reduceat(hashes, own[:-1])
+                    sums[1, full] = np.add.reduceat(K.mix(hashes), own[:-1])
+                paths, sketch = [None] * n, [None] * n
+                first = K.mix(low[:, :roots] + np.arange(roots, dtype=np.uint64)).view(np.int64)
+                small = (K.mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+                for k, i in enumerate(full):
+                    paths[i], sketch[i] = first[k], small[k].tobytes()
+                yield pa.RecordBatch.from_arrays([
+                    ids.slice(row, n), pa.array(sizes), pa.array(sums[0].view(np.int64)),
+                    pa.array(sums[1].view(np.int64)), pa.array(paths, pa.list_(pa.int64())),
+                    pa.array(sketch, pa.binary()),
+                ], names=["doc_id", "n_shingles", "set_a", "set_b", "paths", "sketch"])
+
+    return run
+
+
+def branch(paths: int):
     """Rows of large nodes to their children, by tokens that the node chooses."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        nodes = batch.column("node").to_numpy().view(np.uint64)
-        sketch = K.fixed_binary(batch.column("sketch"), SLOTS, np.uint16)
-        rows = np.arange(len(nodes))
-        for k in range(BRANCHES):
-            slot = (K.mix(nodes + np.uint64(k + 1)) % np.uint64(SLOTS)).astype(np.int64)
-            child = K.mix(K.mix(nodes) + sketch[rows, slot] + (slot.astype(np.uint64) << np.uint64(20)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(child.view(np.int64)), batch.column("id"), batch.column("sketch")],
-                names=["node", "id", "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            nodes = batch.column("node").to_numpy().view(np.uint64)
+            sketch = K.fixed_binary(batch.column("sketch"), SLOTS, np.uint16)
+            rows = np.arange(len(nodes))
+            for k in range(paths):
+                slot = (K.mix(nodes + np.uint64(k + 1)) % np.uint64(SLOTS)).astype(np.int64)
+                child = K.mix(K.mix(nodes) + sketch[rows, slot] + (slot.astype(np.uint64) << np.uint64(20)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(child.view(np.int64)), batch.column("id"), batch.column("sketch")],
+                    names=["node", "id", "sketch"])
+
+    return run
 
 
 def sketch_groups(threshold: float):
     """Members of a node that sketches connect: ``group_id, id``, singles left out."""
-    least = (threshold - MARGIN) * SLOTS
+    least = (threshold - margin(threshold)) * SLOTS
 
     def run(batches):
         for table in K.whole_groups(batches, "node"):
@@ -336,7 +364,7 @@ def near_duplicates(
     """
     num, den = threshold
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stage(source.mapInArrow(sign, SIGNED))
+    signed = stage(source.mapInArrow(sign(trees(num / den)), SIGNED))
     sets = (signed.where("n_shingles > 0 and doc_id is not null")
             .groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")))
     sets = stage(sets)
@@ -366,7 +394,8 @@ def near_duplicates(
         if depth == MAX_DEPTH:
             compare(_block_pairs(large))
             break
-        level = _sized(large.select("node", "id", "sketch").mapInArrow(branch, "node long, id long, sketch binary")
+        level = _sized(large.select("node", "id", "sketch")
+                       .mapInArrow(branch(branches(num / den)), "node long, id long, sketch binary")
                        .dropDuplicates(["node", "id", "sketch"]))
     groups = found[0]
     for more in found[1:]:

@@ -145,3 +145,10 @@ def test_components(spark, seed):
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {x: label[x] for x in nodes}
     assert len(got) == len(nodes)
+
+
+@pytest.mark.parametrize("threshold, trees", (((85, 100), 8), ((80, 100), 10)))
+def test_recall_follows_the_threshold(threshold, trees):
+    s = threshold[0] / threshold[1]
+    assert neardup.trees(s) == trees and neardup.branches(s) * s > 1
+    assert neardup.margin(s) == pytest.approx(4.5 * (s * (1 - s) / neardup.SLOTS) ** 0.5)
