@@ -6,6 +6,7 @@ all but the last return the columns they were given.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +19,15 @@ from glyphloom.session import stage
 
 #: similarity of word shingles from which the stage takes documents for near copies
 NEAR = (80, 100)
-#: cosine below which a text is in no known language; short clean texts are well above
+#: cosine below which a text of any length is in no known language; lengths with learned bounds ask for more
 LEAST_COSINE = 0.05
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters or far from all centroids go."""
-    model = language.fit_languages(language.learning_rows(docs))
+    model = language.fit_languages(language.learning_rows(docs), rejecting=True)
     told = language.identify(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}), model,
-                             text="_text", least=LEAST_COSINE)
+                             text="_text", least=np.maximum(model.least, LEAST_COSINE))
     return told.where(F.col("lang_pred") != language.UNKNOWN).select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 
 

@@ -3,7 +3,9 @@
 Texts become unit vectors of hashed byte trigrams, weighted by inverse document
 frequencies of all learning rows.  Each language has several centroids, clustered on a
 bounded sample of its rows (``SAMPLE`` a language); a text goes to the language of the
-nearest centroid by cosine, or to none if even that one is too far away.
+nearest centroid by cosine, or to none if even that one is too far away.  Cosines grow
+with the length of a text, whatever its language; so how far is too far is learned from
+the sampled rows for each centroid and class of length.
 """
 
 from __future__ import annotations
@@ -25,15 +27,28 @@ ROUNDS = 4
 #: labelled rows a language that clustering sees; document frequencies see all rows
 SAMPLE = 2_000
 UNKNOWN = "und"
+#: classes of length: powers of two of the trigrams in a text
+CLASSES = 32
+#: steps of a cosine that the learned ones are counted by
+STEPS = 200
+#: share of the learning rows whose cosines bound the rest from below, and how far under the bound a text may be
+LOWEST, REACH = 0.01, 0.6
+#: learning rows that a bound takes: with fewer, so small a share is no row
+LEARNED_ROWS = 100
 
 
 @dataclass
 class Centroids:
-    """The model: one language a row of ``centres``, and the weights of the grams."""
+    """The model: one language a row of ``centres``, and the weights of the grams.
+
+    ``least`` is the cosine from which a text belongs to a centroid, by centroid and class
+    of length; 0 if too few rows were learned from.
+    """
 
     languages: list[str]
     centres: np.ndarray
     idf: np.ndarray
+    least: np.ndarray | float = 0.0
 
 
 def gram_counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -98,6 +113,61 @@ def cluster_sums(model: Centroids):
     return run
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """The class of length of each text, from its trigram counts."""
+    return np.frexp(np.maximum(counts.sum(1), 1))[1].clip(1, CLASSES) - 1
+
+
+def own_cosines(model: Centroids):
+    """``cluster, length, step, n``: how many rows have which cosine with the nearest centroid of their language."""
+    names = np.array(model.languages)
+
+    def run(batches):
+        n = np.zeros((len(names), CLASSES, STEPS), np.int64)
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist())
+            for row, counts in gram_counts(batch.column("text")):
+                near = vectors(counts, model.idf) @ model.centres.T
+                near[names[None, :] != langs[row:row + len(counts), None]] = -2
+                step = (near.max(1) * STEPS).astype(np.int64).clip(0, STEPS - 1)
+                np.add.at(n, (near.argmax(1), length_class(counts), step), 1)
+        at = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*at, n[at])], names=["cluster", "length", "step", "n"])
+
+    return run
+
+
+def _bound(steps: np.ndarray) -> np.ndarray:
+    """The cosine that all but the ``LOWEST`` share reach; 1 for too few rows."""
+    total = steps.sum(-1)
+    low = (np.cumsum(steps, -1) > LOWEST * total[..., None]).argmax(-1) / STEPS
+    return np.where(total >= LEARNED_ROWS, low, 1.0)
+
+
+def least_cosines(counted: np.ndarray) -> np.ndarray:
+    """``Centroids.least`` from rows counted by centroid, class of length and cosine.
+
+    Neighbouring classes are taken together until they have enough rows; what is left
+    of long ones asks as much as those before.  They are bound by all their rows, a
+    centroid's own rows can only lower that: those of a centroid that stands among copies
+    of one text say nothing about others.  A class asks no more than longer ones do.
+    """
+    ends, seen = [0], 0
+    for k, n in enumerate(counted.sum((0, 2))):
+        seen += n
+        if seen >= LEARNED_ROWS:
+            ends.append(k + 1)
+            seen = 0
+    if len(ends) == 1:
+        return np.zeros(counted.shape[:2])
+    grouped = np.add.reduceat(counted[:, :ends[-1]], ends[:-1], axis=1)
+    both = np.minimum(_bound(grouped), _bound(grouped.sum(0)))
+    both = np.minimum.accumulate(both[:, ::-1], axis=1)[:, ::-1]
+    sizes = np.diff(ends)
+    sizes[-1] += counted.shape[1] - ends[-1]
+    return REACH * np.repeat(both, sizes, axis=1)
+
+
 def first_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, counts in gram_counts(batch.column("text")):
@@ -106,10 +176,13 @@ def first_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 names=["lang", "counts"])
 
 
-def fit_languages(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
+def fit_languages(
+    rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, rejecting: bool = False,
+) -> Centroids:
     """The model for rows ``doc_id, text, lang``; rows without language or letters are left out.
 
-    The driver sees one number a language, 4,096 frequencies, and a vector a centroid.
+    The driver sees one number a language, 4,096 frequencies, and a vector a centroid; if
+    ``rejecting``, counts of cosines as well, from which ``least`` is learned.
     """
     rows = rows.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -143,10 +216,18 @@ def fit_languages(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTRO
         length = np.sqrt((centres ** 2).sum(1, keepdims=True))
         moved = np.where(length > 0, centres / np.where(length > 0, length, 1), model.centres)
         model = Centroids(model.languages, moved.astype(np.float32), idf)
+    if rejecting:
+        counted = np.zeros((len(model.languages), CLASSES, STEPS), np.int64)
+        for r in (few.select("text", "lang").mapInArrow(own_cosines(model), "cluster long, length long, step long, n long")
+                  .groupBy("cluster", "length", "step").agg(F.sum("n").alias("n")).collect()):
+            counted[r.cluster, r.length, r.step] = r.n
+        model.least = least_cosines(counted)
     return model
 
 
-def _predict(model: Centroids, least: float):
+def _predict(model: Centroids, least: np.ndarray | float):
+    least = np.broadcast_to(least, (len(model.languages), CLASSES))
+
     def run(batches):
         for batch in batches:
             letters = np.array(batch.column("letters").to_pylist(), bool)
@@ -154,11 +235,11 @@ def _predict(model: Centroids, least: float):
             if model.languages:
                 for row, counts in gram_counts(batch.column("text")):
                     near = vectors(counts, model.idf) @ model.centres.T
-                    best = near.argmax(1)
+                    best, length = near.argmax(1), length_class(counts)
                     for i, k in enumerate(best):
                         if letters[row + i]:
                             scores[row + i] = min(1.0, max(0.0, float(near[i, k])))
-                            if near[i, k] >= least:
+                            if near[i, k] >= least[k, length[i]]:
                                 langs[row + i] = model.languages[k]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(langs), pa.array(scores)], names=["row", "lang_pred", "score"])
@@ -166,11 +247,14 @@ def _predict(model: Centroids, least: float):
     return run
 
 
-def identify(docs: DataFrame, model: Centroids, text: str = "text", least: float = 0.0) -> DataFrame:
+def identify(
+    docs: DataFrame, model: Centroids, text: str = "text", least: np.ndarray | float = 0.0,
+) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score``, the cosine of the nearest centroid.
 
-    Null texts, texts without a letter, and texts with a cosine below ``least`` get
-    ``und``; the first two a score of 0.  A model of no languages gives ``und``.  Ties
+    Null texts, texts without a letter, and texts with a cosine below ``least`` (one
+    number, or one for each centroid and class of length) get ``und``; the first two a
+    score of 0.  A model of no languages gives ``und``.  Ties
     go to the centroid first by language.  Repeated rows get the same answer; columns
     named as the results are replaced.
     """
