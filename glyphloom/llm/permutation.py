@@ -91,16 +91,19 @@ def _search(cell: pa.Table, k: int, reranked: float) -> pa.RecordBatch | None:
     ranks = np.frombuffer(b"".join(cell.column("ranks").to_pylist()), np.int8).reshape(len(ids), -1)
     c_ids, c, c_ranks = ids[~asks], vectors[~asks], np.ascontiguousarray(ranks[~asks].T)
     keep = min(len(c_ids), max(8 * k, int(np.ceil(reranked * len(c_ids)))) + 1)
+    # how far a product of two vectors of length 1 may be from the exact one, with room to spare
+    slack = 8 * c.shape[1] * np.finfo(np.float64).eps * np.sqrt((c * c).sum(1).max())
     out = []
     for q_id, q, own in zip(ids[asks], vectors[asks], ranks[asks]):
         distance = np.abs(c_ranks - own[:, None]).sum(0, dtype=np.int16)
-        near = np.argpartition(distance, keep - 1)[:keep] if keep < len(c_ids) else np.arange(len(c_ids))
+        # neither cut parts equals: copies of one vector all stay until their keys are compared
+        near = np.flatnonzero(distance <= np.partition(distance, keep - 1)[keep - 1])
         near = near[c_ids[near] != q_id]
         if not len(near):
             continue
         rough = c[near] @ q
-        if len(near) > k + 8:
-            near = near[np.argpartition(-rough, k + 7)[:k + 8]]
+        if len(near) > k:
+            near = near[rough >= np.partition(rough, len(near) - k)[len(near) - k] - 2 * slack * np.sqrt(q @ q)]
         exact = (c[near] * q).sum(1)  # the same for a pair in whichever cell it meets
         best = np.lexsort((c_ids[near], -exact))[:k]
         out.append((np.full(len(best), q_id), c_ids[near[best]], exact[best]))

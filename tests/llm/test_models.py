@@ -145,3 +145,19 @@ def test_neighbours_in_small_cells_and_odd_vectors(spark, monkeypatch):
     assert {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
     assert {r.query_id for r in got} == set(want)
     assert permutation.nearest(frame.where("false"), F.lit(True)).collect() == []
+
+
+def test_ties_go_to_the_smaller_key_among_many_copies(spark):
+    draw = np.random.default_rng(8)
+    same = draw.normal(size=8)
+    same = (same / np.sqrt(same @ same)).tolist()
+    others = draw.normal(size=(1_000, 8))
+    others /= np.sqrt((others ** 2).sum(1, keepdims=True))
+    ids = draw.permutation(2_000).tolist()
+    rows = [(i, same) for i in ids[:1_000]] + [(i, v.tolist()) for i, v in zip(ids[1_000:], others)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asking = set(sorted(ids[:1_000])[::200])
+    got = permutation.nearest(frame, F.col("vec_id").isin(list(asking)), k=20).collect()
+    for q in asking:
+        mine = [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        assert mine == [i for i in sorted(ids[:1_000]) if i != q][:20]
