@@ -343,7 +343,7 @@ def term_counts(spark, sf):
 TOP_TERMS = 2000  # of the top-k report alone
 
 
-def _vocabulary(spark: SparkSession, sf: str, n: int, terms: int = V.MAX_FEATURES) -> DataFrame:
+def _vocabulary(spark: SparkSession, sf: str, n: int, terms: int | None = V.MAX_FEATURES) -> DataFrame:
     return features.fit_vocabulary(
         D.table(spark, sf, "documents"), "doc_id", "text", terms, n
     )
@@ -368,7 +368,7 @@ def tfidf_weights(spark, sf):
 @query
 def encode_fixed(spark, sf):
     encoded = features.encode_fixed(
-        D.table(spark, sf, "documents"), "doc_id", "text", _vocabulary(spark, sf, 1),
+        D.table(spark, sf, "documents"), "doc_id", "text", _vocabulary(spark, sf, 1, None),
     )
 
     return _readable(encoded, "doc_id")

@@ -77,19 +77,39 @@ def top_terms(statistics: DataFrame, limit: int) -> DataFrame:
     return best.select("term", "corpus_count", "doc_count", rank.alias("rank"))
 
 
+def ranked_terms(statistics: DataFrame) -> DataFrame:
+    """All terms with their ``rank``, in the order of ``top_terms``.
+
+    Terms are sorted in ranges of their order; a rank is the place in the range after
+    all terms of the ranges before, so no task sees more than its range.
+    """
+    order = [F.desc("corpus_count"), F.asc("term")]
+    placed = stage(
+        statistics.repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("term", "corpus_count", "doc_count", F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftright("_at", 33).alias("_part")  # the id is the partition, then 33 bits of the row
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").select(
+        "term", "corpus_count", "doc_count", (F.col("_before") + place + 1).cast("int").alias("rank"))
+
+
 def fit_vocabulary(
-    rows: DataFrame, key: str, text: str, max_features: int = V.MAX_FEATURES, n: int = 2
+    rows: DataFrame, key: str, text: str, max_features: int | None = V.MAX_FEATURES, n: int = 2
 ) -> DataFrame:
     """``term, corpus_count, doc_count, rank, idf`` for the most frequent terms.
 
     Like any fit it runs at once: the texts are read one time, the statistics
-    are staged, and what comes back is a table of at most ``max_features`` rows.
+    are staged, and what comes back is a table of at most ``max_features`` rows,
+    or of all terms for None.
     """
     statistics = stage(term_statistics(term_rows(rows, key, text, n)))
     documents = rows.count()
     # smoothed inverse document frequency, as if one text held every term
     idf = F.log(F.lit(1.0 + documents) / (F.col("doc_count") + 1)) + 1
-    return stage(top_terms(statistics, max_features).withColumn("idf", idf))
+    ranked = ranked_terms(statistics) if max_features is None else top_terms(statistics, max_features)
+    return stage(ranked.withColumn("idf", idf))
 
 
 def tfidf_weights(

@@ -149,11 +149,11 @@ def build_training_set(
 
 
 def encode_training_set(
-    rows: DataFrame, max_length: int = V.MAX_TOKENS, max_features: int = V.MAX_FEATURES
+    rows: DataFrame, max_length: int = V.MAX_TOKENS, max_features: int | None = None
 ) -> DataFrame:
     """The rendered chats of a training set as fixed-length id columns, with ``split``.
 
-    The vocabulary is that of the training rows; chats are rendered once and staged.
+    The vocabulary is that of the training rows, whole unless ``max_features`` bounds it; chats are rendered once and staged.
     """
     rendered = stage(rows.select(
         F.struct("split", "row_key").alias("_row"), render_chat(F.col("messages")).alias("chat")

@@ -145,3 +145,17 @@ def test_baseline_learns(spark):
     assert got.columns == ["id", "label", "text", "extra", "pred_label", "pred"]
     assert got.where("label = pred_label").count() == 120
     assert {r.pred for r in got.select("pred").distinct().collect()} == {"❤️", "😍", "😂"}
+
+
+def test_whole_vocabulary_has_every_rank_and_no_unknown(spark):
+    words = [f"w{i:05d}" for i in range(60_000)]
+    texts = [" ".join(words[i:i + 200]) for i in range(0, 60_000, 200)] + ["w59999 w59998 w59999", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(8)
+    vocabulary = features.fit_vocabulary(rows, "id", "text", None, n=1)
+    got = [r.term for r in vocabulary.orderBy("rank").collect()]
+    assert got == ["w59999", "w59998", *words[:-2]]
+    assert sorted(r["rank"] for r in vocabulary.collect()) == list(range(1, 60_001))
+    encoded = features.encode_fixed(rows, "id", "text", vocabulary)
+    assert encoded.where(F.array_contains("input_ids", features.UNKNOWN_ID)).count() == 0
+    one = encoded.where("id = 300").first()
+    assert one.input_ids[:4] == [2, 3, 2, 0]

@@ -31,3 +31,8 @@ def test_baseline_beats_the_commonest_class(spark, sf_dir):
     right = sum(r.label == r.pred_label for r in got) / len(got)
     commonest = max(sum(r.label == n for r in got) for n in range(4)) / len(got)
     assert right > commonest
+
+
+def test_encoded_documents_have_no_unknown_words(spark):
+    ids = QUERIES["encode_fixed"](spark, "/root/testdata/sf0.1").select("input_ids")
+    assert ids.where("concat(',', input_ids, ',') like '%,1,%'").count() == 0

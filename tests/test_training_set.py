@@ -89,3 +89,13 @@ def test_encoded_training_set(posts):
     # the rendered chat of a labelled post is longer, that of an unlabelled one is not
     assert all(r.truncated == (r.n_tokens > 64) for r in encoded)
     assert any(r.truncated for r in encoded)
+
+
+def test_training_set_is_encoded_with_every_word(spark):
+    words = [f"w{i}x" for i in range(50_400)]
+    chats = [[("user", " ".join(words[i:i + 200]))] for i in range(0, len(words), 200)]
+    rows = spark.createDataFrame(
+        [("train", f"post:{i}", chat) for i, chat in enumerate(chats)],
+        "split string, row_key string, messages array<struct<role string, content string>>")
+    encoded = T.encode_training_set(rows)
+    assert encoded.where(F.array_contains("input_ids", 1)).count() == 0
