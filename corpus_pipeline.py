@@ -32,9 +32,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest key. Null keys all stay."""
+    """One document of each group of near copies: the smallest key. Null keys all stay.
+
+    Different texts of a kept key all stay; of equal ones, the row first by the other columns.
+    """
     kept = near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    one = (docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("_rest"))
+           .select("doc_id", "text", "_rest.*").select(*docs.columns))
     return one.union(docs.where("doc_id is null"))
 
 
