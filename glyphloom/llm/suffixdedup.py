@@ -1,4 +1,4 @@
-"""Removal of byte strings that repeat anywhere in the corpus, by sparse induced sorting.
+"""Removal of byte strings that repeat anywhere in the corpus, by anchors and exact-length hash matching.
 
 A string of ``LENGTH`` bytes that repeats holds the same anchor in each place: the
 position whose following ``CORE`` bytes hash lowest among all cores inside the string.
