@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import language, licenses, permutation, topk, toxicity, urlfilter
+from glyphloom.llm import language, licenses, lloyd, permutation, runs, tokenfile, topk, toxicity, urlfilter
 from glyphloom.llm.mixing import mix_copies
 from glyphloom.llm.neardup import near_duplicates
 from glyphloom.llm.packing import pack
@@ -68,6 +68,19 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.lloyd(table(spark, sf_dir, "embeddings")).vectors
+
+
+def op12_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfile.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokenfile.read_token_files(spark, folder)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -79,6 +92,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_length_buckets": op9_length_buckets,
     "op10_exact_topk": op10_exact_topk,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_token_binary": op12_token_binary,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE = {"op3_url_filter": urlfilter.ORACLE, "op10_exact_topk": topk.ORACLE}
+ORACLE = {"op3_url_filter": urlfilter.ORACLE, "op10_exact_topk": topk.ORACLE,
+          "op11_centroid_clustering": lloyd.ORACLE}
