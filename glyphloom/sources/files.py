@@ -82,27 +82,44 @@ def aligned_lines(
     return pairs.select(F.col("line_no").alias("post_id"), "raw", "label")
 
 
-def read_samples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """``seq, text, emoji, type, true_sentiment`` from a JSON array or JSON Lines.
-
-    One JSON array cannot be split between tasks; large sets should be JSON Lines.
-    The ``seq`` of JSON Lines is the line number over all files, by path, however the
-    files are cut into tasks.
+def read_samples(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """``seq, text, emoji, type, true_sentiment`` from JSON Lines (the default) or JSON arrays.
+
+    ``seq`` numbers the samples over all files, by path, however the files are
+    cut into tasks.  JSON Lines are split between tasks; in array mode each file
+    must be one array (a file is one task), and the number of samples in the
+    files before comes from one count per file.  Input of the other kind fails
+    the job instead of being read in part: a line that opens an array in lines
+    mode, a file that is not one array in array mode.
     """
     if lines:
-        parsed = numbered_lines(spark, path).where(F.col("value").rlike(NON_SPACE)).select(
+        value = F.col("value")
+        opens_array = F.ltrim(value).startswith("[")
+        parsed = numbered_lines(spark, path).where(value.rlike(NON_SPACE)).select(
             F.col("line_no").alias("seq"),
-            F.from_json("value", SAMPLE_SCHEMA, {"mode": "FAILFAST"}).alias("sample"))
+            F.when(opens_array, F.raise_error(F.lit("a JSON array where JSON Lines were expected")))
+            .otherwise(F.from_json(value, SAMPLE_SCHEMA, {"mode": "FAILFAST"})).alias("sample"))
         return parsed.select("seq", "sample.*")
-    samples = (
-        spark.read.schema(SAMPLE_SCHEMA).option("multiLine", not lines)
-        .option("mode", "FAILFAST").json(path)
-    )
-    return samples.select(F.monotonically_increasing_id().alias("seq"), "*")
+    return _array_samples(spark, path)
+
+
+def _array_samples(spark: SparkSession, path: str) -> DataFrame:
+    whole = F.trim(F.col("value"))
+    one_array = whole.startswith("[") & whole.endswith("]")
+    fail = F.raise_error(F.concat(F.lit("not one JSON array: "), F.col("file")))
+    items = F.from_json(whole, f"array<struct<{SAMPLE_SCHEMA.replace(' ', ':').replace(',:', ',')}>>",
+                        {"mode": "FAILFAST"})
+    arrays = stage(spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.when(one_array, items).otherwise(fail).alias("items")))
+    counts = arrays.select("file", F.size("items").alias("n"))
+    earlier = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("earlier"))
+    return arrays.join(F.broadcast(earlier), "file").select(
+        "earlier", F.posexplode("items").alias("at", "sample")).select(
+        (F.col("earlier") + F.col("at")).alias("seq"), "sample.*")
 
 
 def read_samples_if_present(
-    spark: SparkSession, path: str | None, lines: bool = False
+    spark: SparkSession, path: str | None, lines: bool = True
 ) -> DataFrame | None:
     """Like ``read_samples``; None, with a warning, when there is no such path."""
     if path is None:

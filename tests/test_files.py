@@ -65,7 +65,7 @@ def test_samples_round_trip(spark, tmp_path):
     records = [{"text": "uno ❤️", "emoji": "❤️", "type": "irony", "true_sentiment": "mixed"},
                {"text": "dos", "emoji": "😂"}]
     path = _write(tmp_path, "s.json", json.dumps(records, ensure_ascii=False, indent=2))
-    rows = files.read_samples(spark, path)
+    rows = files.read_samples(spark, path, lines=False)
     assert [(r.text, r.type) for r in rows.orderBy("seq").collect()] == [
         ("uno ❤️", "irony"), ("dos", None)]
     out = str(tmp_path / "out")
@@ -79,6 +79,35 @@ def test_broken_samples_fail(spark, tmp_path):
     path = _write(tmp_path, "s.json", '[{"text": "a"')
     with pytest.raises(Exception):
         files.read_samples(spark, path).collect()
+    with pytest.raises(Exception):
+        files.read_samples(spark, path, lines=False).collect()
+
+
+def test_written_samples_come_back_whole_with_the_defaults(spark, tmp_path):
+    rows = spark.createDataFrame([(f"text {i}", "x", None, None) for i in range(50)], files.SAMPLE_SCHEMA)
+    out = str(tmp_path / "out")
+    files.write_samples(rows.repartition(3), out)
+    got = files.read_samples(spark, out).collect()
+    assert len(got) == 50 and sorted(r.seq for r in got) == list(range(50))
+    assert sorted(r.text for r in got) == sorted(f"text {i}" for i in range(50))
+
+
+def test_the_other_kind_of_file_fails(spark, tmp_path):
+    lines = _write(tmp_path, "l.json", '{"text": "a"}\n{"text": "b"}\n')
+    with pytest.raises(Exception, match="not one JSON array"):
+        files.read_samples(spark, lines, lines=False).collect()
+    array = _write(tmp_path, "a.json", '[{"text": "a"}, {"text": "b"}]')
+    with pytest.raises(Exception, match="JSON array where JSON Lines"):
+        files.read_samples(spark, array).collect()
+
+
+def test_array_numbers_follow_the_files(spark, tmp_path):
+    (tmp_path / "arrays").mkdir()
+    for i in range(3):
+        (tmp_path / "arrays" / f"s{i}.json").write_text(json.dumps([{"text": f"t{i} {n}"} for n in range(5 + i)]))
+    got = files.read_samples(spark, str(tmp_path / "arrays"), lines=False).collect()
+    want = [f"t{i} {n}" for i in range(3) for n in range(5 + i)]
+    assert sorted((r.seq, r.text) for r in got) == list(enumerate(want))
 
 
 def test_missing_samples_are_optional(spark, tmp_path):
