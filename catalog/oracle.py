@@ -231,7 +231,9 @@ grams AS (
   FROM words)"""
 
 
-def _vocabulary(column: str, source: str, top: int = V.MAX_FEATURES) -> str:
+def _vocabulary(column: str, source: str, top: int | None = V.MAX_FEATURES) -> str:
+    """The vocabulary of the ``top`` most frequent terms, or of all terms for None."""
+    bound = "" if top is None else f"WHERE rank <= {top}"
     return f"""
 terms AS (
   SELECT doc_id, term, count(*) AS tf
@@ -242,7 +244,7 @@ ranked AS (
   FROM terms GROUP BY term),
 vocabulary AS (
   SELECT *, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (doc_count + 1)) + 1 AS idf
-  FROM ranked WHERE rank <= {top})"""
+  FROM ranked {bound})"""
 
 
 def _encoded(words: str, keys: str) -> str:
@@ -556,7 +558,7 @@ WITH {LINES}, {SAMPLES} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq,
         SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
         FROM weighted""",
     "encode_fixed": f"""
-        WITH {_TERM_CTES}, {_vocabulary('w', 'words')}, {_encoded('words', 'doc_id')}""",
+        WITH {_TERM_CTES}, {_vocabulary('w', 'words', None)}, {_encoded('words', 'doc_id')}""",
     "encoded_training_set": f"""
         WITH {POSTS}, {ANSWERED}, {_UNION},
         both_in AS (
@@ -568,7 +570,7 @@ WITH {LINES}, {SAMPLES} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq,
           SELECT split, row_key, row_key AS doc_id, regexp_extract_all(lower(chat), '{_W}{{2,}}') AS w
           FROM chats),
         train_words AS (SELECT * FROM words WHERE split = 'train'),
-        {_vocabulary('w', 'train_words')}, {_encoded('words', 'split, row_key')}""",
+        {_vocabulary('w', 'train_words', None)}, {_encoded('words', 'split, row_key')}""",
     "pair_predictions": f"WITH {PREDICTIONS} SELECT model, id, truth, pred FROM predictions",
     "pair_similarity": f"""
         WITH {PREDICTIONS}

@@ -36,3 +36,11 @@ def test_baseline_beats_the_commonest_class(spark, sf_dir):
 def test_encoded_documents_have_no_unknown_words(spark):
     ids = QUERIES["encode_fixed"](spark, "/root/testdata/sf0.1").select("input_ids")
     assert ids.where("concat(',', input_ids, ',') like '%,1,%'").count() == 0
+
+
+@pytest.mark.parametrize("name", ["encode_fixed", "encoded_training_set", "tfidf_weights"])
+def test_whole_vocabulary_queries_at_a_larger_size(spark, name):
+    """At sf0.01 the vocabulary has more than 50,000 words, so a cut would show."""
+    sf = "/root/testdata/sf0.01"
+    ours = QUERIES[name](spark, sf).toArrow()
+    assert difference(ours, connect(sf).sql(ORACLE[name]).to_arrow_table()) is None
