@@ -5,6 +5,7 @@ from __future__ import annotations
 from catalog.derived import ANSWERS, FORMS, FOREIGN, LANGUAGES, LINK, OUTSIDE, SUFFIXES
 from glyphloom import values as V
 from glyphloom.functions.chat import system_prompt
+from glyphloom.operators import conversations
 from glyphloom.sources.seeds import SEEDS
 
 _SP = r"\t-\r\x1c-\x1f \x{85}\p{Z}"
@@ -433,6 +434,7 @@ WITH {LINES}, {SAMPLES} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq,
                || {_USER} || chr(10)
                || coalesce('[[assistant]]' || chr(10) || {TARGET} || chr(10), '') AS chat
         FROM kept""",
+    "render_conversations": conversations.oracle(),
     "render_turns": """
         SELECT conv_id, turn, '[[' || role || ']]' || chr(10) || text || chr(10) AS message
         FROM conversations""",

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from catalog import derived as D
 from glyphloom import values as V
 from glyphloom.functions import chat, parsing, text
-from glyphloom.operators import baseline, curation, features, linear, lookups, metrics, sampling, scoring
+from glyphloom.operators import (
+    baseline, conversations, curation, features, linear, lookups, metrics, sampling, scoring,
+)
 from glyphloom.plans import comparison, curation as curating, prediction, training_set as training
 from glyphloom.session import stage, staging_folder
 from glyphloom.sources import answers as answering, files
@@ -183,6 +185,11 @@ def render_turns(spark, sf):
     )
 
 
+@query
+def render_conversations(spark, sf):
+    return conversations.render_conversations(D.table(spark, sf, "conversations"))
+
+
 # --- parsing ---
 
 @query

@@ -110,3 +110,27 @@ def test_chat_messages(spark):
     assert got[0].m[1].content == "Text: hi\nAnalyze and predict:"
     assert all(e in got[0].n[0].content for e in V.EMOJI) and "😂" not in got[0].m[0].content
     assert got[0].s.endswith("[[user]]\nText: hi\nAnalyze and predict:\n[[assistant]]\n")
+
+
+def test_conversations_render_whole_in_bounded_pieces(spark):
+    """A conversation of 100,000 turns, spread over tasks, in pieces that follow the turns."""
+    from glyphloom.operators.conversations import render_conversations
+
+    many = spark.range(100_000).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                       F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                       F.concat(F.lit("m"), F.col("id").cast("string")).alias("text"))
+    odd = spark.createDataFrame(
+        [(None, 1, "user", "a"), (None, None, "user", "b"), (1, 2, None, "x"), (1, 1, "user", "y"),
+         (1, 1, "user", "y"), (2, 0, "system", "z" * 50)], "conv_id long, turn long, role string, text string")
+    rows = many.unionByName(odd).repartition(13)
+    got = render_conversations(rows, piece_chars=1_000).collect()
+    pieces = sorted((r for r in got if r.conv_id == 7), key=lambda r: r.piece)
+    whole = "".join(r.chat for r in pieces)
+    want = "".join(f"[[{'user' if i % 2 == 0 else 'assistant'}]]\nm{i}\n" for i in range(100_000))
+    assert whole == want and sum(r.n_turns for r in pieces) == 100_000
+    assert [r.piece for r in pieces] == list(range(len(pieces)))
+    assert max(len(r.chat) for r in pieces) <= 1_000 + 30
+    small = {(r.conv_id, r.piece): (r.first_turn, r.n_turns, r.chat) for r in got if r.conv_id != 7}
+    assert small == {(None, 0): (1, 2, "[[user]]\nb\n[[user]]\na\n"),
+                     (1, 0): (1, 3, "[[user]]\ny\n[[user]]\ny\n"),
+                     (2, 0): (0, 1, "[[system]]\n" + "z" * 50 + "\n")}
