@@ -590,6 +590,15 @@ WITH {LINES}, {SAMPLES} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq,
         train_words AS (SELECT * FROM words WHERE split = 'train'),
         {_vocabulary('w', 'train_words', None)}, {_encoded('words', 'split, row_key')}""",
     "pair_predictions": f"WITH {PREDICTIONS} SELECT model, id, truth, pred FROM predictions",
+    "reconcile_predictions": f"""
+        WITH {PREDICTIONS},
+        ids AS (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL),
+        per AS (
+          SELECT p.model, count(t.id) AS n_pairs, count(*) - count(t.id) AS unmatched_predictions
+          FROM (SELECT DISTINCT model, id FROM predictions) p LEFT JOIN ids t USING (id) GROUP BY p.model)
+        SELECT model, n_pairs, unmatched_predictions, (SELECT count(*) FROM ids) - n_pairs AS unmatched_truths,
+          unmatched_predictions = 0 AND (SELECT count(*) FROM ids) - n_pairs = 0 AS complete
+        FROM per""",
     "pair_similarity": f"""
         WITH {PREDICTIONS}
         SELECT model, {_known('truth')} AS truth, {_known('pred')} AS pred, pred = truth AS hit,

@@ -447,6 +447,12 @@ def pair_predictions(spark, sf):
     return metrics.pair_predictions(both.drop("truth"), truths)
 
 
+@query
+def reconcile_predictions(spark, sf):
+    truths = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return metrics.reconcile(D.predictions(spark, sf), truths)
+
+
 @query
 def pair_similarity(spark, sf):
     return metrics.pair_scores(_pairs(spark, sf)).withColumn(

@@ -44,6 +44,27 @@ def pair_predictions(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     )
 
 
+def reconcile(predictions: DataFrame, truths: DataFrame) -> DataFrame:
+    """``model, n_pairs, unmatched_predictions, unmatched_truths, complete`` per model.
+
+    The pairing that ``pair_predictions`` makes by inner join, with what it leaves
+    out counted on both sides in the same aggregation: predictions whose id has
+    no truth, and truth ids that the model did not predict.  Repeated
+    ``(model, id)`` predictions and repeated truth ids count once; null ids match
+    nothing.  ``complete`` is the rule under which a comparison is sound.
+    """
+    ids = truths.select("id").where(F.col("id").isNotNull()).distinct()
+    n_truths = ids.count()
+    marked = ids.withColumn("_t", F.lit(True))
+    joined = predictions.select("model", "id").distinct().join(marked, "id", "left")
+    per = joined.groupBy("model").agg(
+        F.count(F.when(F.col("_t"), 1)).alias("n_pairs"),
+        F.count(F.when(F.col("_t").isNull(), 1)).alias("unmatched_predictions"))
+    missing = (F.lit(n_truths) - F.col("n_pairs")).alias("unmatched_truths")
+    return per.select("model", "n_pairs", "unmatched_predictions", missing).withColumn(
+        "complete", (F.col("unmatched_predictions") == 0) & (F.col("unmatched_truths") == 0))
+
+
 def pair_counts(paired: DataFrame, pred: str = "pred", truth: str = "truth") -> DataFrame:
     """``model, truth, pred, hit, n``; values off the list become ``other``."""
     return paired.groupBy(

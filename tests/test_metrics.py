@@ -167,3 +167,15 @@ def test_certificate_and_join_predictions_equal_dense_algebra(spark, sf_dir):
     by_model = {r.id: r.pred_label for r in model.predict(both.where("text is not null")).collect()}
     assert len(by_join) == both.count() and by_join.pop(10**9) == int(np.argmax(tables.intercepts))
     assert by_join == by_model
+
+
+def test_reconcile_counts_what_the_pairing_leaves_out(spark):
+    from glyphloom.operators.metrics import reconcile
+
+    preds = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", 1, "x"), ("b", 9, "z"),
+                                   ("b", None, "z")], "model string, id long, pred string")
+    truths = spark.createDataFrame([(1, "x"), (3, "y"), (3, "y"), (None, "q")], "id long, truth string")
+    got = {r.model: tuple(r)[1:] for r in reconcile(preds, truths).collect()}
+    assert got == {"a": (1, 1, 1, False), "b": (1, 2, 1, False)}
+    assert [tuple(r)[1:] for r in reconcile(preds.where("id = 1"), truths.where("id = 1")).collect()] == [
+        (1, 0, 0, True), (1, 0, 0, True)]
