@@ -45,6 +45,7 @@ LANES = 256
 BLOCK = 1 << 20
 #: the end id appended to every document, fixed by the query's contract
 END_ID = 2
+#: texts per frame handed back to Spark while tokenising
 TEXTS_PER_CALL = 256
 
 _tokenizers: dict[str, object] = {}
@@ -65,18 +66,18 @@ def _tokenizer(path: str):
 
 
 def _tokenize(path: str, end: int):
+    """Each text alone (the batch call's thread pool costs more CPU and memory), in frames of a few texts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, seq = _tokenizer(path), 0
         for batch in batches:
-            texts = ["" if not isinstance(t, str) else t for t in batch["text"]]
-            ids = []
-            for at in range(0, len(texts), TEXTS_PER_CALL):
-                for enc in tok.encode_batch(texts[at:at + TEXTS_PER_CALL], add_special_tokens=False):
-                    ids.append(np.append(np.asarray(enc.ids, np.uint32), np.uint32(end)).tobytes())
-            n = len(texts)
-            yield pd.DataFrame({"part": batch["part"].to_numpy(), "seq": np.arange(seq, seq + n, dtype=np.int64),
-                                "doc_id": batch["doc_id"], "ids": ids})
-            seq += n
+            for at in range(0, len(batch), TEXTS_PER_CALL):
+                part = batch.iloc[at:at + TEXTS_PER_CALL]
+                ids = [np.append(np.asarray(tok.encode(t if isinstance(t, str) else "", add_special_tokens=False).ids,
+                                            np.uint32), np.uint32(end)).tobytes() for t in part["text"]]
+                n = len(part)
+                yield pd.DataFrame({"part": part["part"].to_numpy(), "seq": np.arange(seq, seq + n, dtype=np.int64),
+                                    "doc_id": part["doc_id"].to_numpy(), "ids": ids})
+                seq += n
     return run
 
 
@@ -186,17 +187,14 @@ def _encoder(symbols, freq, cum, lanes, scale, block):
                     "n_ids": len(ids), "states": states, "lengths": lengths, "words": words,
                     "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "words_crc32": zlib.crc32(words)}
 
-        rows, size = [], 0
+        size = 0
         for batch in batches:
             for r in batch.itertuples(index=False):
                 held.append((r.part, r.seq, r.doc_id, r.ids))
                 size += len(r.ids) // 4
                 if size >= block:
-                    rows.append(flush())
+                    yield _block_frame([flush()])
                     size = 0
-            if rows:
-                yield _block_frame(rows)
-                rows = []
         if held:
             yield _block_frame([flush()])
 
