@@ -10,6 +10,7 @@ bounded size by vector and by query, so a pivot that many share stays spread.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,20 +123,25 @@ def nearest(
     Queries are the rows where ``is_query`` holds; candidates all rows but those with
     the query's key.  Scores are exact, in double precision; ties go to the smaller key;
     rows with one key and different vectors count once, by their larger score.  Null,
-    empty, zero vectors, those with null or non-finite components, null keys, and
-    vectors of another length than the commonest take no part.  An empty table gives
-    an empty result.
+    empty, zero vectors, those with null or non-finite components and null keys take
+    no part.  Vectors of each length are searched among those of the same length,
+    each length with an index of its own.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"),
                           usable(F.col(vector)).alias("vector"))
-    rows = rows.where("id is not null and vector is not null")
-    widths = rows.groupBy(F.size("vector").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(
-        F.desc("n"), "w").limit(1).collect()
-    if not widths:
+    rows = stage(rows.where("id is not null and vector is not null").withColumn("width", F.size("vector")))
+    widths = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).orderBy("width").collect()
+    found = [_nearest_of_width(rows.where(F.col("width") == w.width).drop("width"), w.n, k, reranked)
+             for w in widths]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("vector") == widths[0].w)
-    m = max(1, min(MOST_PIVOTS, widths[0].n // VECTORS_PER_PIVOT))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _nearest_of_width(rows: DataFrame, n: int, k: int, reranked: float) -> DataFrame:
+    """``nearest`` among ``id, asks, vector`` rows that all have one length."""
+    m = max(1, min(MOST_PIVOTS, n // VECTORS_PER_PIVOT))
     tried = rows.orderBy(F.xxhash64("id"), "id").limit(8 * MOST_PIVOTS).select("vector").collect()
     pivots = np.array(list(dict.fromkeys(tuple(r.vector) for r in tried))[:m])
     pivots = pivots / np.sqrt((pivots ** 2).sum(1, keepdims=True))

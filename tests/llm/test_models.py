@@ -161,3 +161,15 @@ def test_ties_go_to_the_smaller_key_among_many_copies(spark):
     for q in asking:
         mine = [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
         assert mine == [i for i in sorted(ids[:1_000]) if i != q][:20]
+
+
+def test_every_width_is_searched_among_its_like(spark):
+    draw = np.random.default_rng(5)
+    threes = [(i, draw.normal(size=3).tolist()) for i in range(1, 30)]
+    twos = [(100 + i, draw.normal(size=2).tolist()) for i in range(20)]
+    frame = spark.createDataFrame(threes + twos, "vec_id long, embedding array<double>")
+    got = permutation.nearest(frame, F.col("vec_id") % 20 == 0, k=20).collect()
+    for rows in (threes, twos):
+        want = true_neighbours(rows, lambda i: i % 20 == 0, 20)
+        assert {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
+    assert len([r for r in got if r.query_id == 100]) == 19
