@@ -6,7 +6,7 @@ from catalog.oracle import ORACLE
 from catalog.queries import QUERIES
 from check import connect, difference
 
-WITHOUT_SQL = {"baseline_predictions"}
+WITHOUT_SQL = {"baseline_predictions", "full_comparison"}
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,35 @@ def test_baseline_beats_the_commonest_class(spark, sf_dir):
     assert right > commonest
 
 
+def test_full_comparison_adds_the_baseline_to_the_other_models(spark):
+    """The other rows are ``model_comparison``'s; the baseline's are recomputed from its predictions."""
+    from catalog.queries import BASELINE_MODEL
+    from glyphloom.operators import baseline, linear, sampling
+    from catalog import derived as D
+    from glyphloom.values import EMOJI_BY_LABEL as EMOJIS
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.model: r.asDict() for r in QUERIES["full_comparison"](spark, sf).collect()}
+    others = {r.model: r.asDict() for r in QUERIES["model_comparison"](spark, sf).collect()}
+    assert {m: v for m, v in got.items() if m != BASELINE_MODEL} == others
+    rows = sampling.train_val_split(D.labelled_documents(spark, sf), "id", eager=True)
+    model = baseline.fit_baseline(rows.where("split = 'train' and label is not null"), max_iter=1000, tol=1e-6)
+    held = linear.predict_by_join(rows.where("split = 'val' and label is not null"), linear.as_tables(model, spark),
+                                  ["label"]).collect()
+    pairs = [(EMOJIS[r.label], EMOJIS[r.pred_label]) for r in held]
+    mine = got[BASELINE_MODEL]
+    assert mine["accuracy"] == round(sum(t == p for t, p in pairs) / len(pairs), 6)
+    f1 = []
+    for c in sorted({t for t, _ in pairs}):
+        tp = sum(t == c and p == c for t, p in pairs)
+        fp = sum(t != c and p == c for t, p in pairs)
+        fn = sum(t == c and p != c for t, p in pairs)
+        f1.append((2 * tp / (2 * tp + fp + fn) if tp else 0.0, sum(t == c for t, _ in pairs)))
+    assert mine["f1_weighted"] == pytest.approx(sum(f * n for f, n in f1) / len(pairs), abs=1e-6)
+    assert mine["json_parse_success_rate"] is None and mine["irony_detection_accuracy"] is None
+    assert mine["accuracy"] > 0.5
+
+
 def test_encoded_documents_have_no_unknown_words(spark):
     ids = QUERIES["encode_fixed"](spark, "/root/testdata/sf0.1").select("input_ids")
     assert ids.where("concat(',', input_ids, ',') like '%,1,%'").count() == 0
