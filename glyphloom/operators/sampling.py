@@ -10,14 +10,15 @@ the rows themselves are never sorted, shuffled or gathered.
 The input is read once per level and once for the result; only key and group
 are needed before that, so stage an input that is costly to compute.
 
-Row keys must be unique; rows that share one are kept or dropped together.
+Rows that share a key are ordered by a second draw over their content, and rows
+equal in every column are interchangeable, so sizes are exact on repeated keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 DIGITS = 3  # hex digits per level: 4,096 ranges, two levels split rows 16.7M ways
@@ -34,29 +35,25 @@ def share(fraction: float) -> Callable[[Column, Column], Column]:
     return lambda total, _group: F.ceil(F.lit(float(fraction)) * total.cast("double"))
 
 
-def draw_cut(
-    rows: DataFrame, draw_col: str, size: Callable[[Column, Column], Column],
-    group: Column | None = None, eager: bool = False,
-) -> Column:
-    """``map<group, draw>``: the largest draw to keep in each group.
+def bounds(keyed: DataFrame, wanted: Column) -> DataFrame:
+    """``g, d, take, at``: per group the draw of the last row to keep, how many rows
+    with that draw to keep, and how many rows have it.
 
-    ``size(total, group)`` gives the number of rows wanted.  Groups that keep
-    nothing are absent.  The number of groups must be small (data variants);
-    without ``group`` the only one is ``"all"``.
-
-    The result is a scalar subquery, or with ``eager`` it is computed now and
-    becomes a literal, for bounds that several passes use.
+    ``keyed`` holds ``g, d``, rows with a null draw are never counted;
+    ``wanted`` is the number of rows to keep, an expression over the group's
+    ``total`` and ``g``.  Groups that keep nothing are absent.  Two levels count
+    draws by leading digits; in the range found, rows are counted by their whole
+    draw, so copies of one hot key are a hash aggregate, not one task's sort.
     """
-    g = F.lit("all") if group is None else group
-    keyed = rows.select(g.cast("string").alias("g"), F.col(draw_col).alias("d"))
+    keyed = keyed.where(F.col("d").isNotNull())
 
-    def walk(counts: DataFrame, wanted: Column) -> DataFrame:
-        """The digit range where the running count reaches the wanted number."""
-        ordered = Window.partitionBy("g").orderBy("range")
+    def walk(counts: DataFrame, wanted: Column, by: str) -> DataFrame:
+        """The entry where the running count reaches the wanted number."""
+        ordered = Window.partitionBy("g").orderBy(by)
         reached = counts.withColumn("upto", F.sum("n").over(ordered)).withColumn("want", wanted)
         return reached.where(
             (F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want"))
-        ).select("g", "range", (F.col("want") - (F.col("upto") - F.col("n"))).alias("want"))
+        ).select("g", by, "n", (F.col("want") - (F.col("upto") - F.col("n"))).alias("want"))
 
     def counts_of(frame: DataFrame, length: int, *carried: str) -> DataFrame:
         span = F.substring("d", 1, length).alias("range")
@@ -65,24 +62,50 @@ def draw_cut(
     def inside(found: DataFrame, length: int) -> DataFrame:
         """Rows of the found range (one per group), with what is still wanted of it."""
         ranged = keyed.withColumn("range", F.substring("d", 1, length))
-        return ranged.join(F.broadcast(found), ["g", "range"]).select("g", "d", "want")
+        return ranged.join(F.broadcast(found.select("g", "range", "want")), ["g", "range"]).select("g", "d", "want")
 
     total = F.sum("n").over(Window.partitionBy("g"))
     first = counts_of(keyed, DIGITS).withColumn("total", total)
-    wanted = F.least(size(F.col("total"), F.col("g")).cast("long"), F.col("total"))
-    level1 = walk(first, wanted)
-    level2 = walk(counts_of(inside(level1, DIGITS), 2 * DIGITS, "want"), F.col("want"))
-    # what is left shares 24 bits of its draws: rows / 16.7M
-    place = F.row_number().over(Window.partitionBy("g").orderBy("d"))
-    last = (
-        inside(level2, 2 * DIGITS).withColumn("place", place)
-        .where(F.col("place") == F.col("want")).select("g", "d")
-    )
+    level1 = walk(first, F.least(wanted.cast("long"), F.col("total")), "range")
+    level2 = walk(counts_of(inside(level1, DIGITS), 2 * DIGITS, "want"), F.col("want"), "range")
+    # what is left shares 24 bits of its draws: distinct draws of the range, with their counts
+    draws = inside(level2, 2 * DIGITS).groupBy("g", "want", "d").agg(F.count(F.lit(1)).alias("n"))
+    last = walk(draws, F.col("want"), "d")
+    return last.select("g", "d", F.col("want").alias("take"), F.col("n").alias("at"))
+
+
+def _as_map(found: DataFrame, value: Column, eager: bool) -> Column:
+    """``map<g, value>`` of ``found``: collected now (one row per group) or a scalar subquery."""
     if eager:
-        found = last.collect()  # one row per group
-        entries = [F.lit(x) for row in found for x in (row.g, row.d)]
-        return F.create_map(*entries or [F.lit(""), F.lit("")])
-    return last.select(F.map_from_entries(F.collect_list(F.struct("g", "d")))).scalar()
+        rows = found.select("g", value.alias("v")).collect()
+        def literal(x):
+            if isinstance(x, Row):
+                return F.struct(*[F.lit(v).alias(k) for k, v in x.asDict().items()])
+            return F.lit(x)
+
+        if rows:
+            return F.create_map(*[literal(x) for row in rows for x in (row.g, row.v)])
+    return found.select(F.map_from_entries(F.collect_list(F.struct("g", value)))).scalar()
+
+
+def draw_cut(
+    rows: DataFrame, draw_col: str, size: Callable[[Column, Column], Column],
+    group: Column | None = None, eager: bool = False,
+) -> Column:
+    """``map<group, draw>``: the largest draw to keep in each group.
+
+    ``size(total, group)`` gives the number of rows wanted.  Groups that keep
+    nothing are absent.  The number of groups must be small (data variants);
+    without ``group`` the only one is ``"all"``.  Rows that share the bound's
+    draw are all below it; ``exact_first`` keeps exactly the number wanted.
+
+    The result is a scalar subquery, or with ``eager`` it is computed now and
+    becomes a literal, for bounds that several passes use.
+    """
+    g = F.lit("all") if group is None else group
+    keyed = rows.select(g.cast("string").alias("g"), F.col(draw_col).alias("d"))
+    found = bounds(keyed, size(F.col("total"), F.col("g")))
+    return _as_map(found, F.col("d"), eager)
 
 
 def _keep(draw_col: str, cut: Column, group: Column | None) -> Column:
@@ -90,18 +113,60 @@ def _keep(draw_col: str, cut: Column, group: Column | None) -> Column:
     return F.coalesce(F.col(draw_col) <= F.try_element_at(cut, g), F.lit(False))
 
 
+def exact_first(
+    rows: DataFrame, key: str, size: Callable[[Column, Column], Column], group: Column | None = None,
+    seed: int = 42, eager: bool = False, flag: str = "_first",
+) -> DataFrame:
+    """The rows with boolean ``flag``: true for exactly ``size(total, group)`` rows of each group.
+
+    Rows are ordered by the draw of their key, rows of one key by a second draw,
+    the MD5 of the row's whole content, so the choice does not depend on
+    partitioning or run.  Rows that are equal in every column are
+    interchangeable: of those at the bound one is taken by a hash aggregate and
+    repeated as often as each flag needs, so a hot group of copies is never
+    one task's work.  Rows with a null key are never flagged and not counted.
+    An empty table gives an empty table.
+    """
+    columns = rows.columns
+    g = (F.lit("all") if group is None else group).cast("string")
+    drawn = rows.withColumn("_g", g).withColumn("_d", draw(F.col(key), seed))
+    first = bounds(drawn.select(F.col("_g").alias("g"), F.col("_d").alias("d")), size(F.col("total"), F.col("g")))
+    b1 = F.try_element_at(_as_map(first, F.struct("d", "take", "at"), eager), F.col("_g"))
+    at_bound = F.col("_d") == b1["d"]
+    split = at_bound & (b1["take"] < b1["at"])
+    content = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])))
+    drawn = drawn.withColumn("_c", F.when(split, content))
+    tied = drawn.where(split).select(F.col("_g").alias("g"), F.col("_c").alias("d"))
+    second = bounds(tied, F.try_element_at(_as_map(first, F.col("take"), eager), F.col("g")))
+    b2 = F.try_element_at(_as_map(second, F.struct("d", "take", "at"), eager), F.col("_g"))
+    alike = split & (F.col("_c") == b2["d"]) & (b2["take"] < b2["at"])
+    chosen = (F.col("_d") < b1["d"]) | (at_bound & ~split) | (split & (F.col("_c") < b2["d"])) | (
+        split & (F.col("_c") == b2["d"]) & (b2["take"] == b2["at"]))
+    kept = drawn.where(~F.coalesce(alike, F.lit(False))).withColumn(flag, F.coalesce(chosen, F.lit(False)))
+    copies = drawn.where(alike).groupBy("_g").agg(
+        F.any_value(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("_row"),
+        F.first(b2["take"]).alias("_take"), F.count(F.lit(1)).alias("_n"))
+    repeated = copies.select(F.explode(F.array(
+        F.struct(F.lit(True).alias("f"), F.col("_take").alias("k")),
+        F.struct(F.lit(False).alias("f"), (F.col("_n") - F.col("_take")).alias("k")))).alias("_part"), "_row"
+    ).select(F.col("_part.f").alias(flag), F.explode(F.array_repeat("_row", F.col("_part.k").cast("int"))).alias("_row"))
+    return kept.select(*[F.col(f"`{c}`") for c in columns], flag).unionByName(
+        repeated.select("_row.*", flag), allowMissingColumns=False)
+
+
 def sample_exact(
     rows: DataFrame, key: str, n: int | None, seed: int = 42, eager: bool = False
 ) -> DataFrame:
     """``n`` rows without replacement; all rows for ``n`` of 0, None or too many.
 
-    ``eager`` finds the bound now, for a sample that is used several times.
+    Exactly ``n`` rows also when keys repeat (``exact_first``); rows with a null
+    key are never drawn.  ``eager`` finds the bounds now, for a sample that is
+    used several times.
     """
     if not n:
         return rows
-    drawn = rows.withColumn("_draw", draw(F.col(key), seed))
-    cut = draw_cut(drawn, "_draw", lambda _total, _group: F.lit(int(n)), None, eager)
-    return drawn.where(_keep("_draw", cut, None)).drop("_draw")
+    flagged = exact_first(rows, key, lambda _total, _group: F.lit(int(n)), None, seed, eager)
+    return flagged.where("_first").drop("_first")
 
 
 def train_val_split(
@@ -110,13 +175,13 @@ def train_val_split(
 ) -> DataFrame:
     """Add ``split``: ``val`` for exactly ``ceil(test_size * rows)`` rows, else ``train``.
 
-    With ``group`` each of a few groups is split on its own.  ``eager`` finds the
-    bounds now, for a split that is used several times.
+    Exact also when keys repeat (``exact_first``); rows with a null key are
+    ``train`` and not counted.  With ``group`` each of a few groups is split on
+    its own.  ``eager`` finds the bounds now, for a split that is used several times.
     """
-    drawn = rows.withColumn("_draw", draw(F.col(key), seed))
-    cut = draw_cut(drawn, "_draw", share(test_size), group, eager)
-    label = F.when(_keep("_draw", cut, group), "val").otherwise("train")
-    return drawn.withColumn("split", label).drop("_draw")
+    flagged = exact_first(rows, key, share(test_size), group, seed, eager, "_val")
+    label = F.when(F.col("_val"), "val").otherwise("train")
+    return flagged.withColumn("split", label).drop("_val")
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -51,3 +51,42 @@ def test_positions_are_a_permutation(spark):
     assert [r.id for r in sorted(got, key=lambda r: r.position)] == _order(range(2000))
     assert sorted(r.position for r in got) == list(range(1, 2001))
     assert [r.id for r in sampling.shuffled(spark.range(50), "id").collect()] == _order(range(50))
+
+
+def _repeated(spark):
+    """100 keys, key k in k % 4 + 1 rows; rows of one key differ in ``v`` except key 0's copies."""
+    rows = [(k, 0 if k % 10 == 0 else c) for k in range(100) for c in range(k % 4 + 1)]
+    return rows, spark.createDataFrame(rows, "id long, v long")
+
+
+@pytest.mark.parametrize("n", [1, 7, 150, 249, 250, 400])
+def test_sample_is_exact_on_repeated_keys(spark, n):
+    rows, frame = _repeated(spark)
+    got = sampling.sample_exact(frame, "id", n).collect()
+    assert len(got) == min(n, len(rows))
+    whole = {k for k in range(100) if sum(1 for r in got if r.id == k) == k % 4 + 1}
+    order = _order(range(100))
+    assert sum(1 for r in got if r.id not in whole) == (0 if n >= len(rows) else len(got) - sum(k % 4 + 1 for k in whole))
+    # the keys taken whole are the first in draw order; at most one key is taken in part
+    assert whole == set(order[:len(whole)])
+    assert len({r.id for r in got} - whole) <= 1
+    assert sorted(got) == sorted(sampling.sample_exact(frame.repartition(7), "id", n, eager=True).collect())
+
+
+def test_equal_rows_at_the_bound_are_counted_one_by_one(spark):
+    frame = spark.createDataFrame([(5, "a")] * 40 + [(6, "b")] * 3, "id long, t string")
+    for n in (1, 17, 39, 41, 42):
+        got = sampling.sample_exact(frame, "id", n).collect()
+        assert len(got) == n
+    split = sampling.train_val_split(frame, "id", test_size=0.5).collect()
+    assert len(split) == 43 and sum(r.split == "val" for r in split) == 22
+
+
+def test_split_is_exact_on_repeated_keys_and_skips_null_keys(spark):
+    rows, frame = _repeated(spark)
+    frame = frame.union(spark.createDataFrame([(None, 1)] * 5, "id long, v long"))
+    got = sampling.train_val_split(frame, "id", eager=True).collect()
+    assert len(got) == len(rows) + 5
+    assert sum(r.split == "val" for r in got) == math.ceil(0.1 * len(rows))
+    assert all(r.split == "train" for r in got if r.id is None)
+    assert sampling.train_val_split(frame.limit(0), "id").count() == 0
