@@ -173,3 +173,20 @@ def test_every_width_is_searched_among_its_like(spark):
         want = true_neighbours(rows, lambda i: i % 20 == 0, 20)
         assert {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
     assert len([r for r in got if r.query_id == 100]) == 19
+
+
+def test_toxicity_on_empty_tables_repeated_rows_and_null_keys(spark):
+    rows = [(i, f"you are scum and vile w{i % 5}", 1) for i in range(30)]
+    rows += [(100 + i, f"a nice cup of tea w{i}", 0) for i in range(30)]
+    rows += [(None, "you are scum and vile", 1), (7, "a nice cup of tea", 0), (7, "a nice cup of tea", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(frame)
+    got = toxicity.score_toxicity(frame.select("doc_id", "text"), model).collect()
+    assert len(got) == len(rows)
+    copies = [r.score for r in got if r.doc_id == 7 and r.text == "a nice cup of tea"]
+    assert len(copies) == 2 and len(set(copies)) == 1
+    assert [r.doc_id for r in got if r.text == "you are scum and vile"] == [None]
+    empty = toxicity.score_toxicity(frame.select("doc_id", "text").limit(0), model)
+    assert empty.count() == 0 and {"score", "predicted"} <= set(empty.columns)
+    blank = toxicity.fit_toxicity(frame.limit(0))
+    assert {r.predicted for r in toxicity.score_toxicity(frame, blank).collect()} == {0}
