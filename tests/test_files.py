@@ -149,3 +149,21 @@ def test_sample_numbers_do_not_depend_on_the_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert seen[0] == seen[1] == {(200 * i + n, f"t{i} {n}") for i in range(3) for n in range(200)}
+
+
+@pytest.mark.parametrize("name", ["aligned_files"])
+def test_written_files_grow_in_number_with_the_rows(spark, tmp_path, monkeypatch, name):
+    from catalog import queries
+
+    rows = [(i, "\n".join(f"line {i} {n} " + "x" * 80 for n in range(20)), "en", "s", 1) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    made = []
+    real = queries._in_order
+    monkeypatch.setattr(queries, "_in_order", lambda rows, n, *order: made.append(n) or real(rows, n, *order))
+    before = sorted(queries.QUERIES[name](spark, str(tmp_path)).collect())
+    few, made[:] = list(made), []
+    assert max(few) <= 7
+    monkeypatch.setattr(queries, "FILE_BYTES", 20_000)
+    assert sorted(queries.QUERIES[name](spark, str(tmp_path)).collect()) == before
+    assert min(made) >= 18 and len(before) == 4000
