@@ -151,7 +151,7 @@ def test_sample_numbers_do_not_depend_on_the_tasks(spark, tmp_path):
     assert seen[0] == seen[1] == {(200 * i + n, f"t{i} {n}") for i in range(3) for n in range(200)}
 
 
-@pytest.mark.parametrize("name", ["aligned_files"])
+@pytest.mark.parametrize("name", ["aligned_files", "samples_from_files"])
 def test_written_files_grow_in_number_with_the_rows(spark, tmp_path, monkeypatch, name):
     from catalog import queries
 
