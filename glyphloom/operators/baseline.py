@@ -1,13 +1,14 @@
-"""TF-IDF features with multinomial logistic regression, on ``pyspark.ml``."""
+"""TF-IDF features on ``pyspark.ml`` with multinomial logistic regression."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import DenseMatrix, DenseVector, Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,27 +16,50 @@ from glyphloom import values as V
 from glyphloom.functions.labels import emoji_of
 from glyphloom.functions.text import ngrams, tokens
 from glyphloom.operators.features import fit_vocabulary
+from glyphloom.operators.softmax import fit_softmax, margins, sparse_pieces
 from glyphloom.session import stage
 
 
+@dataclass(frozen=True)
+class Classifier:
+    """Weights (classes by features) and an intercept per class, named as in ``pyspark.ml``."""
+
+    coefficientMatrix: DenseMatrix
+    interceptVector: DenseVector
+
+
 @dataclass(frozen=True)
 class TextBaseline:
     """A fitted text classifier."""
 
     features: PipelineModel
-    classifier: object
+    classifier: Classifier
     n: int
 
     def predict(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """Add ``pred_label`` and ``pred``, the emoji of that class."""
         kept = rows.columns
-        scored = self.classifier.transform(_vectors(rows, text, self.features, self.n))
-        label = F.col("_prediction").cast("int")
-        return scored.select(*kept, label.alias("pred_label"), emoji_of(label).alias("pred"))
+        scored = _vectors(rows, text, self.features, self.n).withColumn(
+            "pred_label", _classes(self.classifier)("_x.indices", "_x.values"))
+        return scored.select(*kept, "pred_label", emoji_of(F.col("pred_label")).alias("pred"))
 
 
 def _vectors(rows: DataFrame, text: str, features: PipelineModel, n: int) -> DataFrame:
-    return features.transform(rows.withColumn("_terms", ngrams(tokens(F.col(text)), n)))
+    """``rows`` with ``_x``, the ``indices`` and ``values`` of each text's vector."""
+    terms = rows.withColumn("_terms", ngrams(tokens(F.col(text)), n))
+    return features.transform(terms).withColumn("_x", F.unwrap_udt("_features"))
+
+
+def _classes(classifier: Classifier):
+    """The class with the largest margin; ties to the smaller."""
+    weights, intercepts = classifier.coefficientMatrix.toArray(), classifier.interceptVector.toArray()
+
+    @F.arrow_udf("int")
+    def classes(indices: pa.Array, values: pa.Array) -> pa.Array:
+        found = [margins(weights, intercepts, *piece).argmax(axis=1) for _, *piece in sparse_pieces(indices, values)]
+        return pa.array(np.concatenate(found) if found else [], pa.int32())
+
+    return classes
 
 
 def fit_baseline(
@@ -61,13 +85,8 @@ def fit_baseline(
         Normalizer(p=2.0, inputCol="_tfidf", outputCol="_features"),
     ])
     vectors = stage(_vectors(train, text, features, n).select(
-        F.col(label).cast("double").alias("_label"), "_features"
-    ))
-    texts = vectors.count()
-    solver = LogisticRegression(
-        featuresCol="_features", labelCol="_label", predictionCol="_prediction",
-        probabilityCol="_probability", rawPredictionCol="_margin", family="multinomial",
-        regParam=1.0 / (c * texts), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, tol=tol,
-    )
-    return TextBaseline(features, solver.fit(vectors), n)
+        F.col(label).cast("int").alias("label"), "_x.indices", "_x.values"))
+    classes = (vectors.agg(F.max("label")).first()[0] or 0) + 1
+    weights, intercepts = fit_softmax(vectors, len(terms), classes, c, max_iter, tol)
+    matrix = DenseMatrix(classes, len(terms), weights.ravel(), isTransposed=True)
+    return TextBaseline(features, Classifier(matrix, Vectors.dense(intercepts)), n)
