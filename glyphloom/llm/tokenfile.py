@@ -27,6 +27,7 @@ Extra columns are ignored.  An empty table writes an empty folder of blocks.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,6 +48,10 @@ BLOCK = 1 << 20
 END_ID = 2
 #: texts per frame handed back to Spark while tokenising
 TEXTS_PER_CALL = 256
+#: words whose ids a task keeps, and the characters up to which it keeps one
+KEPT_WORDS, KEPT_CHARS = 1 << 17, 64
+#: pre-tokenising pattern known to have no match with a blank in it
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _tokenizers: dict[str, object] = {}
 
@@ -65,15 +70,58 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def blanks_separate(spec: dict) -> bool:
+    """Whether a text's ids are those of its parts between blanks, one after the other.
+
+    Told from the tokenizer's file, and True only for what is known: characters normalised without
+    a view over a blank, pieces by ``WORD_PATTERN`` and nothing between them, and merges inside a piece.
+    """
+    def parts(kind: str, several: str) -> list[dict]:
+        one = spec.get(kind) or {}
+        return one.get(several, []) if one.get("type") == "Sequence" else [one] if one else []
+
+    def known(n: dict) -> bool:
+        return n["type"] in ("NFC", "Lowercase") or (
+            n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ")
+
+    cuts = parts("pre_tokenizer", "pretokenizers")
+    first, rest = cuts[0] if cuts else {}, cuts[1:]
+    return (
+        all(known(n) for n in parts("normalizer", "normalizers"))
+        and first.get("type") == "Split" and first["pattern"] == {"Regex": WORD_PATTERN}
+        and first["behavior"] == "Removed" and first["invert"]
+        and all(r["type"] == "ByteLevel" and not r["add_prefix_space"] and not r["use_regex"] for r in rest)
+        and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        and not (spec.get("post_processor") or spec.get("truncation") or spec.get("padding"))
+        and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", [])))
+
+
+class _Encoded(dict):
+    """Text to its ids as bytes, by the tokenizer; those of short texts are kept, up to ``KEPT_WORDS``."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, text: str) -> bytes:
+        raw = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        if len(text) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[text] = raw
+        return raw
+
+
 def _tokenize(path: str, end: int):
-    """Each text alone (the batch call's thread pool costs more CPU and memory), in frames of a few texts."""
+    """Each text alone, word by word where blanks separate its pieces, in frames of a few texts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, seq = _tokenizer(path), 0
+        tok, seq, last = _tokenizer(path), 0, np.uint32(end).tobytes()
+        encoded = _Encoded(tok)
+        by_words = blanks_separate(json.loads(tok.to_str()))
         for batch in batches:
             for at in range(0, len(batch), TEXTS_PER_CALL):
                 part = batch.iloc[at:at + TEXTS_PER_CALL]
-                ids = [np.append(np.asarray(tok.encode(t if isinstance(t, str) else "", add_special_tokens=False).ids,
-                                            np.uint32), np.uint32(end)).tobytes() for t in part["text"]]
+                texts = (t if isinstance(t, str) else "" for t in part["text"])
+                ids = [b"".join(map(encoded.__getitem__, t.split(" ") if by_words else [t])) + last for t in texts]
                 n = len(part)
                 yield pd.DataFrame({"part": part["part"].to_numpy(), "seq": np.arange(seq, seq + n, dtype=np.int64),
                                     "doc_id": part["doc_id"].to_numpy(), "ids": ids})
