@@ -2,7 +2,7 @@
 
 ``pyspark.ml``'s solver works on columns divided by their standard deviations.  Under a
 penalty on the undivided weights, rare terms then get curvatures thousands of times those of
-frequent ones, and a thousand iterations do not settle.  Here the variables are scaled by the
+frequent ones, and a fit takes hundreds of iterations.  Here the variables are scaled by the
 objective's own diagonal, penalty included, so a few dozen passes do; the objective is the same.
 
 Rows stay in the tasks.  A task adds its rows' share of the gradient into one vector as long as
