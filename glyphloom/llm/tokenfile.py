@@ -27,7 +27,10 @@ Extra columns are ignored.  An empty table writes an empty folder of blocks.
 
 from __future__ import annotations
 
+import array
+import functools
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -48,12 +51,17 @@ BLOCK = 1 << 20
 END_ID = 2
 #: texts per frame handed back to Spark while tokenising
 TEXTS_PER_CALL = 256
-#: words whose ids a task keeps, and the characters up to which it keeps one
-KEPT_WORDS, KEPT_CHARS = 1 << 17, 64
+#: words whose ids a worker keeps (and as many pieces), and the characters up to which it keeps one
+KEPT_WORDS, KEPT_CHARS = 1 << 19, 64
 #: pre-tokenising pattern known to have no match with a blank in it
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: the matches of ``WORD_PATTERN`` in lower-cased Latin-1 text
+LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]"
+                         "|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+
 _tokenizers: dict[str, object] = {}
+_encoders: dict[str, _Encoded] = {}
 
 
 def default_vocabulary() -> str:
@@ -96,32 +104,96 @@ def blanks_separate(spec: dict) -> bool:
         and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", [])))
 
 
+def pieces_apart(spec: dict) -> bool:
+    """Whether the ids of a Latin-1 word are those its ``LATIN_PIECE`` matches, in lower case, have in the model.
+
+    Beyond ``blanks_separate``: Latin-1 text is its own NFC form, and added tokens are looked for in the raw word.
+    """
+    kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (blanks_separate(spec) and "Lowercase" in kinds and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and not any(t["normalized"] or t["single_word"] for t in spec.get("added_tokens", [])))
+
+
 class _Encoded(dict):
-    """Text to its ids as bytes, by the tokenizer; those of short texts are kept, up to ``KEPT_WORDS``."""
+    """Text to its ids as bytes, by the tokenizer; those of short texts are kept, up to ``KEPT_WORDS``.
+
+    With ``pieces`` a Latin-1 word is cut here and the tokenizer's model gives the ids of each piece, which are
+    kept as well: a word that is new is mostly known pieces, or a known one in other case or with other marks.
+    """
 
     def __init__(self, tokenizer):
+        spec = json.loads(tokenizer.to_str())
         self.tokenizer = tokenizer
+        self.by_words = blanks_separate(spec)
+        self.model = getattr(tokenizer, "model", None) if pieces_apart(spec) else None
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.pieces: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        """Of a whole text, word by word where that is the same."""
+        if not self.by_words:
+            return self[text]
+        if any(t in text for t in self.added):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
     def __missing__(self, text: str) -> bytes:
-        raw = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        if self.model is not None and (text.isascii() or max(text) <= "ÿ"):
+            known, low = self.pieces, text.lower()
+            if low.isalpha():  # letters alone, one piece
+                cut = (low,)
+            elif low[:-1].isalpha() and low[-1] in ".,;:!?":
+                cut = (low[:-1], low[-1])
+            else:
+                cut = LATIN_PIECE.findall(low)
+            raw = b"".join([known.get(p) or self._piece(p) for p in cut])
+        else:
+            raw = self._whole(text)
+        return self._keep(self, text, raw)
+
+    def _whole(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()
+        mapped = piece if plain else _byte_level().pre_tokenize_str(piece)[0][0]
+        raw = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return self._keep(self.pieces, piece, raw)
+
+    @staticmethod
+    def _keep(kept: dict[str, bytes], text: str, raw: bytes) -> bytes:
         if len(text) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[text] = raw
+            if len(kept) >= KEPT_WORDS:
+                kept.clear()
+            kept[text] = raw
         return raw
 
 
+@functools.cache
+def _byte_level():
+    from tokenizers import pre_tokenizers
+
+    return pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+
+def _encoder_of(path: str) -> _Encoded:
+    """One for each tokenizer and worker: what a task has kept serves the next one."""
+    tok = _tokenizer(path)
+    if path not in _encoders or _encoders[path].tokenizer is not tok:
+        _encoders[path] = _Encoded(tok)
+    return _encoders[path]
+
+
 def _tokenize(path: str, end: int):
     """Each text alone, word by word where blanks separate its pieces, in frames of a few texts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, seq, last = _tokenizer(path), 0, np.uint32(end).tobytes()
-        encoded = _Encoded(tok)
-        by_words = blanks_separate(json.loads(tok.to_str()))
+        encoded, seq, last = _encoder_of(path), 0, np.uint32(end).tobytes()
         for batch in batches:
             for at in range(0, len(batch), TEXTS_PER_CALL):
                 part = batch.iloc[at:at + TEXTS_PER_CALL]
                 texts = (t if isinstance(t, str) else "" for t in part["text"])
-                ids = [b"".join(map(encoded.__getitem__, t.split(" ") if by_words else [t])) + last for t in texts]
+                ids = [encoded.ids(t) + last for t in texts]
                 n = len(part)
                 yield pd.DataFrame({"part": part["part"].to_numpy(), "seq": np.arange(seq, seq + n, dtype=np.int64),
                                     "doc_id": part["doc_id"].to_numpy(), "ids": ids})
@@ -166,22 +238,27 @@ def frequency_table(counts: dict[int, int], scale: int = SCALE) -> tuple[np.ndar
 def encode_block(ids: np.ndarray, symbols: np.ndarray, freq: np.ndarray, cum: np.ndarray,
                  lanes: int = LANES, scale: int = SCALE) -> tuple[bytes, bytes, bytes]:
     """``states, lengths, words`` of one block: the lanes' final states and word streams."""
-    at = np.searchsorted(symbols, ids)
+    place = np.zeros(int(symbols[-1]) + 1, np.int32)  # as many as the vocabulary has ids
+    place[symbols] = np.arange(len(symbols))
+    at = place[ids]
     f, c = freq[at].astype(np.uint64), cum[at].astype(np.uint64)
     x = np.full(lanes, LOW, np.uint64)
     steps = -(-len(ids) // lanes)
     out_lane, out_word = [], []
-    top = np.uint64((LOW >> scale) << 32)
+    most = f * np.uint64((LOW >> scale) << 32)
+    gap = np.uint64(1 << scale) - f
+    half = np.uint64(32)
     for step in range(steps - 1, -1, -1):
         lo, hi = step * lanes, min(len(ids), (step + 1) * lanes)
-        live = np.arange(hi - lo)
-        fs, cs, xs = f[lo:hi], c[lo:hi], x[live]
-        emit = xs >= top * fs
-        if emit.any():
-            out_lane.append(live[emit])
-            out_word.append((xs[emit] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            xs = np.where(emit, xs >> np.uint64(32), xs)
-        x[live] = ((xs // fs) << np.uint64(scale)) + (xs % fs) + cs
+        xs = x[:hi - lo]  # a view: the last step may fill the first lanes only
+        emit = np.flatnonzero(xs >= most[lo:hi])
+        if len(emit):
+            full = xs[emit]
+            out_lane.append(emit)
+            out_word.append(full.astype(np.uint32))
+            xs[emit] = full >> half
+        # (x // f << scale) + x % f + c
+        xs += (xs // f[lo:hi]) * gap[lo:hi] + c[lo:hi]
     lane = np.concatenate(out_lane) if out_lane else np.zeros(0, np.int64)
     word = np.concatenate(out_word) if out_word else np.zeros(0, np.uint32)
     # the decoder reads each lane's words in the reverse order of writing
@@ -196,29 +273,30 @@ def decode_block(n: int, states: bytes, lengths: bytes, words: bytes, symbols: n
     x = np.frombuffer(states, np.uint64).copy()
     size = np.frombuffer(lengths, np.uint32).astype(np.int64)
     stream = np.frombuffer(words, "<u4").astype(np.uint64)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    read = np.zeros(lanes, np.int64)
+    ends = np.cumsum(size)
+    read = ends - size  # the place of each lane's next word
     out = np.empty(n, np.int64)
-    mask = np.uint64((1 << scale) - 1)
+    f, c = freq.astype(np.uint64), cum.astype(np.uint64)
+    mask, low, by, half = np.uint64((1 << scale) - 1), np.uint64(LOW), np.uint64(scale), np.uint64(32)
     for step in range(-(-n // lanes)):
         lo, hi = step * lanes, min(n, (step + 1) * lanes)
-        live = np.arange(hi - lo)
-        xs = x[live]
+        xs = x[:hi - lo]
         slot = xs & mask
-        at = slot_symbol[slot.astype(np.int64)]
-        out[lo:hi] = symbols[at]
-        xs = freq[at].astype(np.uint64) * (xs >> np.uint64(scale)) + slot - cum[at].astype(np.uint64)
-        need = xs < np.uint64(LOW)
-        if need.any():
-            lanes_in = live[need]
-            if np.any(read[lanes_in] >= size[lanes_in]):
+        at = slot_symbol[slot.view(np.int64)]
+        out[lo:hi] = at
+        xs >>= by
+        xs *= f[at]
+        xs += slot - c[at]
+        need = np.flatnonzero(xs < low)
+        if len(need):
+            place = read[need]
+            if (place >= ends[need]).any():
                 raise ValueError("corrupt block: a lane ran out of words")
-            xs[need] = (xs[need] << np.uint64(32)) | stream[start[lanes_in] + read[lanes_in]]
-            read[lanes_in] += 1
-        x[live] = xs
-    if np.any(x != np.uint64(LOW)) or np.any(read != size):
+            xs[need] = (xs[need] << half) | stream[place]
+            read[need] = place + 1
+    if np.any(x != low) or np.any(read != ends):
         raise ValueError("corrupt block: states or streams do not end where they began")
-    return out
+    return symbols[out]
 
 
 def _encoder(symbols, freq, cum, lanes, scale, block):
