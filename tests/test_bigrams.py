@@ -57,3 +57,19 @@ def test_no_words_at_all(spark):
     vocabulary = features.fit_vocabulary(rows, "id", "text", 5)
     assert vocabulary.count() == 0
     assert features.tfidf_weights(rows, "id", "text", vocabulary).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1, 4, 100])
+def test_ids_come_from_lookups_and_joined_rare_words(spark, rows, monkeypatch, bound):
+    """Whole texts stay one row: only places of words beyond the bound are spread and joined."""
+    one = rows.where("id < 20 and text is not null").dropDuplicates(["id"])
+    vocabulary = features.fit_vocabulary(one, "id", "text", 30, n=1)
+    rank = {r.term: r.rank for r in vocabulary.collect()}
+    monkeypatch.setattr(features, "BROADCAST_ROWS", bound)
+    encoded = features.encode_fixed(one, "id", "text", vocabulary, 16)
+    got = {r.id: r.input_ids for r in encoded.collect()}
+    for r in one.collect():
+        words = [w for w in r.text.split(" ") if len(w) > 1][:16]
+        assert got[r.id] == [rank.get(w, 0) + 1 for w in words] + [0] * (16 - len(words))
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan.lower()
