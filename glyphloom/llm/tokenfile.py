@@ -204,13 +204,11 @@ def _tokenize(path: str, end: int):
 def _histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         counts = np.zeros(0, np.int64)
-        for raw in batch["ids"]:
-            ids = np.frombuffer(raw, np.uint32)
-            if len(ids):
-                c = np.bincount(ids)
-                if len(c) > len(counts):
-                    counts = np.pad(counts, (0, len(c) - len(counts)))
-                counts[:len(c)] += c
+        for at in range(0, len(batch), TEXTS_PER_CALL):
+            c = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[at:at + TEXTS_PER_CALL]), np.uint32))
+            if len(c) > len(counts):
+                counts = np.pad(counts, (0, len(c) - len(counts)))
+            counts[:len(c)] += c
         sym = np.flatnonzero(counts)
         yield pd.DataFrame({"symbol": sym.astype(np.int64), "n": counts[sym]})
 
@@ -262,9 +260,9 @@ def encode_block(ids: np.ndarray, symbols: np.ndarray, freq: np.ndarray, cum: np
     lane = np.concatenate(out_lane) if out_lane else np.zeros(0, np.int64)
     word = np.concatenate(out_word) if out_word else np.zeros(0, np.uint32)
     # the decoder reads each lane's words in the reverse order of writing
-    order = np.lexsort((-np.arange(len(lane)), lane))
+    order = np.argsort(lane[::-1].astype(np.min_scalar_type(lanes)), kind="stable")
     lengths = np.bincount(lane, minlength=lanes).astype(np.uint32)
-    return x.tobytes(), lengths.tobytes(), word[order].astype("<u4").tobytes()
+    return x.tobytes(), lengths.tobytes(), word[::-1][order].astype("<u4").tobytes()
 
 
 def decode_block(n: int, states: bytes, lengths: bytes, words: bytes, symbols: np.ndarray, freq: np.ndarray,
