@@ -2,31 +2,32 @@
 
 The model leaves the solver as three relations: ``term, idf, betas`` (one row per
 vocabulary term, a weight per class) and an intercept per class.  Their size is
-bounded by the vocabulary bound times the number of classes, so the term table is
-broadcast.  Texts become term rows inside their own task, meet the table, and a
-group by the text adds ``w * beta`` and ``w * w`` map-side; the margin of a class
+bounded by the vocabulary bound times the number of classes, so the term table goes
+to every task.  A text meets it inside its own task, with many texts at once in
+arrays (``bigrams.Terms``), and leaves as one row; the margin of a class
 is ``sum(w * beta) / sqrt(sum(w * w)) + intercept`` and the prediction its argmax
-(ties to the smaller class).  No dense vector of the vocabulary's width is built
-per text.
+(ties to the smaller class).  No term of a text becomes a row, and no dense vector
+of the vocabulary's width is built per text.
 
 The certificate evaluates the gradient of the fitted objective,
 ``sum of cross-entropies + |W|^2 / (2 c)``, at the fitted weights and at zero, in
-one pass: each text's residuals ``p - y`` are spread over its terms and summed by
-term.  The fit is certified when the gradient's norm is below ``tolerance`` times
-its norm at zero.
+one pass over the texts themselves: each text's residuals ``p - y`` are spread over
+its terms and summed by term in the task.  The fit is certified when the gradient's
+norm is below ``tolerance`` times its norm at zero.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphloom.operators import bigrams, softmax
 from glyphloom.operators.baseline import TextBaseline
-from glyphloom.operators.features import term_rows
 
 #: gradient norm at the fit, as a share of that at zero weights, below which a fit is certified.
 #: Measured at sf0.01: 0.0086 when the solver stops at a loss change of 1e-4 (621 iterations),
@@ -72,67 +73,64 @@ def as_tables(model: TextBaseline, spark: SparkSession) -> LinearTables:
     return LinearTables(terms, tuple(float(b) for b in model.classifier.interceptVector.toArray()), model.n)
 
 
-def _sums(rows: DataFrame, tables: LinearTables, carry: list[str], text: str, with_terms: bool = False) -> DataFrame:
-    """Per input row: ``carry``, ``_ss`` (squared norm) and ``_s<c>`` (dot product with class c)."""
-    numbered = rows.select(*carry, text).withColumn("_row", F.monotonically_increasing_id())
-    terms = term_rows(numbered, ["_row", *carry], text, tables.n, outer=True)
-    weighted = terms.join(F.broadcast(tables.terms), "term", "left").select(
-        "_row", *carry, "term", F.coalesce(F.col("tf") * F.col("idf"), F.lit(0.0)).alias("w"), "betas")
-    sums = [F.sum(F.col("w") * F.coalesce(F.col("betas")[c], F.lit(0.0))).alias(f"_s{c}")
-            for c in range(tables.classes)]
-    listed = [F.collect_list(F.when(F.col("w") != 0, F.struct("term", "w"))).alias("_terms")] if with_terms else []
-    return weighted.groupBy("_row", *carry).agg(F.sum(F.col("w") * F.col("w")).alias("_ss"), *sums, *listed)
+def _lookup(tables: LinearTables) -> tuple[bigrams.Terms, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, idf, weights (classes by terms) and intercepts."""
+    table = tables.terms.select("term", "idf", "betas").toArrow()
+    betas = table.column("betas").combine_chunks()
+    weights = np.asarray(betas.flatten(), np.float64).reshape(len(betas), tables.classes).T
+    terms = bigrams.Terms(table.column("term").to_pylist(), tables.n)
+    return terms, table.column("idf").to_numpy(), np.ascontiguousarray(weights), np.array(tables.intercepts)
 
 
-def _margins(tables: LinearTables) -> list[Column]:
-    norm = F.sqrt("_ss")
-    return [F.when(norm > 0, F.col(f"_s{c}") / norm).otherwise(F.lit(0.0)) + F.lit(b)
-            for c, b in enumerate(tables.intercepts)]
+def _margins(tables: LinearTables, text: str) -> Column:
+    """A text's margin of each class."""
+    terms, idf, weights, intercepts = _lookup(tables)
 
+    @F.arrow_udf("array<double>")
+    def margins(words: pa.Array) -> pa.Array:
+        found = [softmax.margins(weights, intercepts, *terms.vectors(idf, *bigrams.words_of(words[rows])))
+                 for rows in bigrams.text_pieces(words)]
+        flat = np.concatenate(found).ravel() if found else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * len(intercepts), pa.int32()), pa.array(flat))
 
-def _argmax(values: list[Column]) -> Column:
-    best = F.greatest(*values)
-    return (F.array_position(F.array(*values), best) - 1).cast("int")
+    return margins(bigrams.plain_text(F.col(text)))
+
+
+def _argmax(values: Column) -> Column:
+    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
 def predict_by_join(rows: DataFrame, tables: LinearTables, carry: list[str], text: str = "text") -> DataFrame:
     """``carry``, ``pred_label`` and ``margins`` for every row; a text without known terms gets the intercepts."""
-    margins = _margins(tables)
-    return _sums(rows, tables, carry, text).select(
-        *carry, _argmax(margins).alias("pred_label"), F.array(*margins).alias("margins"))
+    return rows.select(*carry, _margins(tables, text).alias("margins")).select(
+        *carry, _argmax(F.col("margins")).alias("pred_label"), "margins")
 
 
 def certify(rows: DataFrame, tables: LinearTables, text: str = "text", label: str = "label", c: float = 1.0,
             iterations: int = -1) -> Certificate:
     """The gradient of the fitted objective on ``rows`` (labelled training texts), at the fit and at zero."""
-    k = tables.classes
-    sums = _sums(rows.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("int")),
-                 tables, ["_y"], text, with_terms=True)
-    margins = _margins(tables)
-    top = F.greatest(*margins)
-    scaled = [F.exp(m - top) for m in margins]
-    total = sum(scaled[1:], scaled[0])
-    residual = [scaled[i] / total - (F.col("_y") == i).cast("double") for i in range(k)]
-    at_zero = [F.lit(1.0 / k) - (F.col("_y") == i).cast("double") for i in range(k)]
-    per_row = sums.select(F.sqrt("_ss").alias("_norm"), "_terms", *[r.alias(f"_r{i}") for i, r in enumerate(residual)],
-                          *[z.alias(f"_z{i}") for i, z in enumerate(at_zero)])
-    # every text adds its residuals to its terms (feature x = w / norm) and, under a null term, to the intercepts
-    head = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("x")))
-    entries = F.concat(head, F.transform("_terms", lambda t: F.struct(
-        t["term"].alias("term"), (t["w"] / F.col("_norm")).alias("x"))))
-    spread = per_row.select(*[f"_r{i}" for i in range(k)], *[f"_z{i}" for i in range(k)],
-                            F.explode(entries).alias("t")).select(
-        "t.term", *[(F.col(f"_r{i}") * F.col("t.x")).alias(f"g{i}") for i in range(k)],
-        *[(F.col(f"_z{i}") * F.col("t.x")).alias(f"h{i}") for i in range(k)])
-    by_term = spread.groupBy("term").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"g{i}").alias(f"g{i}") for i in range(k)],
-                                         *[F.sum(f"h{i}").alias(f"h{i}") for i in range(k)])
-    full = tables.terms.join(by_term, "term", "full_outer")
-    fitted = sum(((F.coalesce(F.col(f"g{i}"), F.lit(0.0)) + F.coalesce(F.col("betas")[i], F.lit(0.0)) / c) ** 2
-                  for i in range(k)), F.lit(0.0))
-    start = sum((F.coalesce(F.col(f"h{i}"), F.lit(0.0)) ** 2 for i in range(k)), F.lit(0.0))
-    norms = full.agg(F.sum(fitted).alias("fit"), F.sum(start).alias("zero"),
-                     F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("n")).first()
-    n = norms["n"]
+    terms, idf, weights, intercepts = _lookup(tables)
+    classes, width = weights.shape
+    sent = rows.sparkSession.sparkContext.broadcast((terms, idf, weights))
+
+    def add(batch, total):
+        terms, idf, weights = sent.value
+        sums = total[:-1].reshape(2, classes, width + 1)
+        for piece, *cut in bigrams.cut_pieces([batch]):
+            vectors = terms.vectors(idf, *cut)
+            own = piece.column("y").to_numpy()[:, None] == np.arange(classes)
+            fitted, _ = softmax.likelihoods(softmax.margins(weights, intercepts, *vectors))
+            for at, shares in zip(sums, (fitted - own, 1 / classes - own)):
+                softmax.spread(at[:, :-1], shares, *vectors)
+                at[:, -1] += shares.sum(axis=0)  # the intercepts
+            total[-1] += len(own)
+
+    labelled = rows.where(F.col(label).isNotNull()).select(
+        F.col(label).cast("int").alias("y"), bigrams.plain_text(F.col(text)).alias("words"))
+    found = softmax.added(labelled, 2 * classes * (width + 1) + 1, add)
+    sent.destroy()
+    n, (fit, zero) = int(found[-1]), found[:-1].reshape(2, classes, width + 1)
     if not n:
         return Certificate(0, 0.0, 0.0, iterations)
-    return Certificate(n, math.sqrt(norms["fit"]) / n, math.sqrt(norms["zero"]) / n, iterations)
+    fit[:, :-1] += weights / c
+    return Certificate(n, float(np.linalg.norm(fit)) / n, float(np.linalg.norm(zero)) / n, iterations)
