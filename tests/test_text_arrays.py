@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from catalog import queries
 from glyphloom.functions.text import tokens
 from glyphloom.operators import baseline, bigrams, linear, softmax
 
@@ -59,3 +60,12 @@ def test_blocks_keep_what_they_are_given(spark, monkeypatch):
         assert np.array_equal(np.concatenate([piece[0] for _, _, piece in found]), columns)
         assert np.array_equal(np.concatenate([piece[1] for _, _, piece in found]), values)
         assert [n for _, _, piece in found for n in np.diff(piece[2])] == [3, 0, 6, 1]
+
+
+def test_every_query_fits_until_it_settles(spark, sf_dir, monkeypatch):
+    """``baseline_predictions`` is allowed the reference's 1,000 iterations and stops where the other two queries do."""
+    real, asked = baseline.fit_baseline, []
+    monkeypatch.setattr(baseline, "fit_baseline", lambda *a, **k: asked.append(k) or real(*a, **k))
+    for name in ("baseline_predictions", "baseline_certificate", "full_comparison"):
+        queries.QUERIES[name](spark, sf_dir)
+    assert asked == [{"max_iter": 1000, "tol": 1e-6}] * 3
